@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import stream_dedup
+from . import bpe_fst, chat_format, stream_dedup, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": stream_dedup.op6_exact_dedup}
+    return {
+        "op4_bpe_codec": bpe_fst.op4_bpe_codec,
+        "op6_exact_dedup": stream_dedup.op6_exact_dedup,
+        "op7_url_rules": url_rules.op7_url_rules,
+        "op8_chat_format": chat_format.op8_chat_format,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_exact_dedup": stream_dedup.OP6_SQL}
+    return {
+        "op6_exact_dedup": stream_dedup.OP6_SQL,
+        "op7_url_rules": url_rules.OP7_SQL,
+        "op8_chat_format": chat_format.OP8_SQL,
+    }
