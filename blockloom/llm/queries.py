@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_fst, chat_format, stream_dedup, url_rules
+from . import bpe_fst, chat_format, packing, stream_dedup, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": stream_dedup.op6_exact_dedup,
         "op7_url_rules": url_rules.op7_url_rules,
         "op8_chat_format": chat_format.op8_chat_format,
+        "op10_pack": packing.op10_pack,
     }
 
 
