@@ -30,11 +30,11 @@ from .shared import table
 SIZE = 2048
 END_ID = 1
 #: In ids of padding: what splitting a document costs at a sentence's end, or inside a sentence.
-SENTENCE_COST, INSIDE_COST = 4, 32
+SENTENCE_COST, INSIDE_COST = 2, 8
 #: Inside a sentence longer than this, every so many ids may be a cut.
-STEP = 256
+STEP = 32
 #: A shorter sequence is still one more sequence; this keeps tails from falling into crumbs.
-SEQUENCE_COST = 16
+SEQUENCE_COST = 8
 #: Ids settled at a time, and the overlap whose cuts are left to the next block.
 BLOCK, OVERLAP = 1 << 18, 8 * SIZE
 
