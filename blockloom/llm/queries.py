@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_fst, chat_format, packing, stream_dedup, url_rules
+from . import bpe_fst, chat_format, packing, stream_dedup, toxicity_fm, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_codec": bpe_fst.op4_bpe_codec,
+        "op5_toxicity": toxicity_fm.op5_toxicity,
         "op6_exact_dedup": stream_dedup.op6_exact_dedup,
         "op7_url_rules": url_rules.op7_url_rules,
         "op8_chat_format": chat_format.op8_chat_format,
