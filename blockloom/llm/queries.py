@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_fst, chat_format, packing, spotsigs, stream_dedup, toxicity_fm, url_rules
+from . import bpe_fst, chat_format, packing, parity_join, spotsigs, stream_dedup, toxicity_fm, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": spotsigs.op1_spotsigs,
+        "op2_parity_join": parity_join.op2_parity_join,
         "op4_bpe_codec": bpe_fst.op4_bpe_codec,
         "op5_toxicity": toxicity_fm.op5_toxicity,
         "op6_exact_dedup": stream_dedup.op6_exact_dedup,
