@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_fst, chat_format, packing, parity_join, spotsigs, stream_dedup, toxicity_fm, url_rules
+from . import bpe_fst, chat_format, packing, parity_join, passage_dedup, spotsigs, stream_dedup, toxicity_fm, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": stream_dedup.op6_exact_dedup,
         "op7_url_rules": url_rules.op7_url_rules,
         "op8_chat_format": chat_format.op8_chat_format,
+        "op9_passage_dedup": passage_dedup.op9_passage_dedup,
         "op10_pack": packing.op10_pack,
     }
 
