@@ -37,7 +37,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces by ranks. ``max_states`` and ``max_pairs`` bound the tables; past them they start afresh."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000, max_pairs: int = 700_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 1_500_000):
         self.ranks = ranks
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -189,7 +189,7 @@ class Transducer:
 class PieceMemo(dict):
     """Packed ids of pieces seen, at most ``limit`` of them; then it starts afresh."""
 
-    def __init__(self, transducer: Transducer, limit: int = 250_000):
+    def __init__(self, transducer: Transducer, limit: int = 1_000_000):
         self.encode, self.limit = transducer.encode, limit
 
     def __missing__(self, piece: str) -> bytes:
