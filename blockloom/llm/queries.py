@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_fst, chat_format, packing, parity_join, passage_dedup, spotsigs, stream_dedup, toxicity_fm, url_rules
+from . import bpe_fst, chat_format, line_templates, packing, parity_join, passage_dedup, spotsigs, stream_dedup, toxicity_fm, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": spotsigs.op1_spotsigs,
         "op2_parity_join": parity_join.op2_parity_join,
+        "op3_line_templates": line_templates.op3_line_templates,
         "op4_bpe_codec": bpe_fst.op4_bpe_codec,
         "op5_toxicity": toxicity_fm.op5_toxicity,
         "op6_exact_dedup": stream_dedup.op6_exact_dedup,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op3_line_templates": line_templates.OP3_SQL,
         "op6_exact_dedup": stream_dedup.OP6_SQL,
         "op7_url_rules": url_rules.OP7_SQL,
         "op8_chat_format": chat_format.OP8_SQL,
