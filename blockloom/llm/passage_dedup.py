@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .parity_join import U, WORDS, _words, linked, mix
-from .shared import Scratch, components, table
+from .shared import Scratch, components, fresh, table
 
 #: Words in a paragraph, and on how many words at either side its place is the least.
 LENGTH, BESIDE = 32, 4
@@ -30,6 +30,8 @@ SHINGLES = LENGTH - WORDS + 1
 BANDS = 2
 #: Further MinHash digits of four bits, and how many must agree before sets are compared.
 DIGITS, AGREE = 8, 4
+#: With so many rows of a key's first document each other row is compared.
+FIRST = 4
 #: Rows of documents whose paragraphs are compared are broadcast up to this many (tens of bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -59,6 +61,11 @@ def places(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero((pair == least)[: len(h) - LENGTH + 1])
 
 
+def _contents(blocks: np.ndarray) -> np.ndarray:
+    """A hash of each row of shingles, in order."""
+    return mix((blocks * _WEIGHTS).sum(axis=1, dtype=U))
+
+
 def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places, content hashes, digits and band keys (one row a band) of the text's paragraphs."""
     h, s = ordered_shingles(text)
@@ -66,7 +73,7 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if not len(at):
         return at, np.zeros(0, U), np.zeros(0, np.int64), np.zeros((BANDS, 0), U)
     blocks = sliding_window_view(s, SHINGLES)[at]
-    content = mix((blocks * _WEIGHTS).sum(axis=1, dtype=U))
+    content = _contents(blocks)
     least = np.stack([sliding_window_view(mix(s ^ salt), SHINGLES)[at].min(axis=1) for salt in _SALTS[: BANDS + DIGITS]])
     bands = mix(least[:BANDS] + _SALTS[:BANDS, None])
     digits = np.zeros(len(at), np.int64)
@@ -75,7 +82,7 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return at, content, digits, bands
 
 
-ROWS = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+ROWS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("place", pa.int64())])
 FOUND = pa.schema([(n, pa.int64()) for n in ("content", "doc", "place", "other", "other_doc", "other_place")])
 SETS = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
@@ -89,7 +96,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             for keys in bands:
-                for to, x in zip(out, (keys.view(np.int64), content.view(np.int64), np.full(len(at), doc, np.int64), at << 32 | digits)):
+                for to, x in zip(out, (keys.view(np.int64), np.full(len(at), doc, np.int64), content.view(np.int64), at << 32 | digits)):
                     to.append(x)
             if len(out[0]) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=ROWS)
@@ -98,54 +105,54 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=ROWS)
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether enough four-bit digits are equal."""
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many four-bit digits are equal."""
     apart = (a ^ b) & 0xFFFFFFFF
-    same = sum((((apart >> (4 * i)) & 15) == 0).astype(np.int64) for i in range(DIGITS))
-    return same >= AGREE
+    return sum((((apart >> (4 * i)) & 15) == 0).astype(np.int64) for i in range(DIGITS))
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and content: those that share their key with another row.
+    """From rows sorted by key and document: those of keys that several documents share.
 
-    The first row of a content also names another content of its key: the key's first or, where
-    that one's digits disagree, the one before. Holds two rows between batches, however many share a key.
+    Neighbouring paragraphs of one text overlap and may share a key; that alone says nothing. A row
+    of another document than the key's first is compared, by digits, with up to ``FIRST`` rows of that
+    first document, and names the likeliest if its content differs. Between batches the first
+    document's rows are held, at most a text's paragraphs, however many rows share a key.
     """
-    carry = None  # the key's first row, the last row, and whether the last row has been given
+    held, told = None, False  # the last key's rows of its first document, and whether they have been given
     for b in batches:
         cols = [b.column(i).to_numpy() for i in range(4)]
-        n = len(cols[0])
-        if not n:
+        if not len(cols[0]):
             continue
-        lead0, last0, told = carry or (None, None, True)
-        if last0 is not None:
-            cols = [np.concatenate([[x], c]) for x, c in zip(last0, cols)]
-        key, content, doc, place = cols
+        n_held = len(held[0]) if held else 0
+        if held:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        key, doc, content, place = cols
         size = len(key)
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         at = np.maximum.accumulate(np.where(new_key, np.arange(size), 0))
-        lead = [c[at] for c in cols]
-        if last0 is not None:
-            cont = at == 0
-            for c, x in zip(lead, lead0):
-                c[cont] = x
-        follows = ~new_key
-        shown = follows.copy()
-        shown[:-1] |= follows[1:]
-        if last0 is not None and told:
-            shown[0] = False
-        before = np.concatenate([[0], np.arange(size - 1)])
-        fresh = follows & (content != content[before])
-        by_lead = fresh & _agree(place, lead[3])
-        by_last = fresh & ~by_lead & _agree(place, place[before])
-        pick = lambda i: np.where(by_lead, lead[i], cols[i][before])
-        paired = by_lead | by_last
+        abroad = doc != doc[at]
+        shared = np.zeros(size, bool)
+        shared[at[abroad]] = True  # at a key's first row: several documents have it
+        shown = shared[at]
+        if told:
+            shown[:n_held] = False
+        best, best_at = np.full(size, AGREE - 1), np.zeros(size, np.int64)
+        for t in range(FIRST):
+            i = np.minimum(at + t, size - 1)
+            fits = abroad & (at[i] == at) & ~abroad[i]
+            same = np.where(fits, np.where(content[i] == content, DIGITS + 1, _agreeing(place, place[i])), 0)
+            better = same > best
+            best, best_at = np.where(better, same, best), np.where(better, i, best_at)
+        paired = (best >= AGREE) & (best <= DIGITS)
         if shown.any():
             none = ~paired[shown]
-            other = [pa.array(pick(i)[shown] if i != 3 else pick(3)[shown] >> 32, mask=none) for i in (1, 2, 3)]
+            other = [pa.array(x[best_at][shown], mask=none) for x in (content, doc, place >> 32)]
             yield pa.RecordBatch.from_arrays([pa.array(content[shown]), pa.array(doc[shown]), pa.array(place[shown] >> 32), *other], schema=FOUND)
-        last_told = bool(shown[-1]) or (size == 1 and last0 is not None and told)
-        carry = ([c[-1] for c in lead], [c[-1] for c in cols], last_told)
+        last = at[-1]
+        told = bool(shared[last]) or (told and last == 0)
+        mine = last + np.flatnonzero(~abroad[last:])
+        held = [c[mine] for c in cols]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +160,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         node, members = [], []
         for text, wanted in zip(b.column(0), b.column(1).to_pylist()):
-            at, content, _, _ = paragraphs(text.as_py())
             _, s = ordered_shingles(text.as_py())
-            of = dict(zip(at.tolist(), content.view(np.int64).tolist()))
-            for p in wanted:
-                if p in of:
-                    node.append(of[p])
-                    members.append(np.unique(s[p : p + SHINGLES]).tobytes())
+            wanted = [p for p in wanted if p + SHINGLES <= len(s)]  # rows of one key may have other texts
+            if wanted:
+                blocks = sliding_window_view(s, SHINGLES)[wanted]
+                node += _contents(blocks).view(np.int64).tolist()
+                members += [np.unique(x).tobytes() for x in blocks]
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(members, pa.binary())], schema=SETS)
 
 
@@ -180,8 +186,8 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
     spark = df.sparkSession
     scratch = Scratch(spark, "passages")
     read = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL")
-    rows = read.mapInArrow(_rows, "key bigint, content bigint, doc bigint, place bigint")
-    order = ["key", "content", "doc", "place"]
+    rows = read.mapInArrow(_rows, "key bigint, doc bigint, content bigint, place bigint")
+    order = ["key", "doc", "content", "place"]
     found = rows.repartition("key").sortWithinPartitions(*order).mapInArrow(_collide, "content bigint, doc bigint, place bigint, other bigint, other_doc bigint, other_place bigint")
     found = scratch.keep(found, "found")
 
@@ -240,6 +246,23 @@ def passage_spans(found: DataFrame) -> DataFrame:
     return by_doc.mapInArrow(run, f"doc_id bigint, removed array<{SPAN}>, kept array<{SPAN}>")
 
 
+def cut_passages(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with all their columns, ``text`` without the passages that a lesser document keeps.
+
+    Every row stays. White space before a word goes with it. Null and untouched texts stay as they are.
+    """
+    scratch = Scratch(df.sparkSession, "cut-passages")
+    spans = passage_spans(repeated_paragraphs(df, key=key, text=text)).where("size(removed) > 0")
+    doc, gone = fresh(df, "doc"), fresh(df, "gone")
+    spans = scratch.keep(spans.select(F.col("doc_id").alias(doc), F.col("removed").alias(gone)), "spans")
+    side = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
+    chunks = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    inside = lambda i: F.exists(gone, lambda s: (i >= s["first_word"]) & (i < s["end_word"]))
+    cut = F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(chunks, lambda x, i: ~inside(i)), ""))
+    joined = df.join(side, F.col(f"`{key}`").cast("long") == F.col(doc), "left")
+    return joined.select(*(cut.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))
+
+
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document with a repeated passage: its spans, words that go, and the documents that keep them."""
     spans = passage_spans(repeated_paragraphs(table(spark, sf_dir, "documents")))
