@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bytes as byte_plans
+
+PLANS = [byte_plans]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return byte_plans.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
