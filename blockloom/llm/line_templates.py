@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, Scratch, table
+from .shared import ASCII_SPACE, Scratch, fresh, table
 
 DEPTH = 3
 ALIKE = 0.75
@@ -90,17 +90,16 @@ def drop_recurring_lines(df: DataFrame, *, key: str = "doc_id", text: str = "tex
     scratch = Scratch(df.sparkSession, "line-templates")
     gone = recurring_lines(df, scratch, key=key, text=text)
     gone = scratch.keep(gone.groupBy("doc", "row").agg(F.collect_set("line").alias("gone")), "gone")
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
-    names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    whole = df.select(*(f"`{c}`" for c in names), F.col(f"`{key}`").cast("long").alias("_key"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("_hash"))
-    fits = F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row"))
-    joined = whole.join(_small(gone), fits, "left")
+    doc, row, out = fresh(df, "doc"), fresh(df, "row"), fresh(df, "gone")
+    gone = gone.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("gone").alias(out))
+    fits = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) == F.col(row))
+    joined = df.join(_small(gone), fits, "left")
     parts = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    cut = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(kept)
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(out, i)), "\n")
+    cut = F.when(F.col(out).isNull(), F.col(f"`{text}`")).otherwise(kept)
     return joined.select(
-        *(cut.alias(c) if c == text else F.col(f"`{c}`") for c in names),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        *(cut.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped")),
+        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(out), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ have smaller partners there, the one below.
 * Nodes of one key are first compared with one leader each; nodes that are then in one component
   need no more comparing. What a key still holds apart is compared in all pairs, after whole
   sketches have shown that few enough members can differ.
-* Every pair is verified on its sets, exactly: 100 * common >= 80 * union.
+* A pair whose whole sketches differ in more bits than its sets may in members is dropped unseen:
+  first by short sketches in the join itself, then by sketches of four bits a member.
+* Every other pair is verified on its sets, exactly: 100 * common >= 80 * union.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, table
+from .shared import Scratch, components, fresh, table
 
 WORDS = 5
 #: Upper ends of size bands grow by this; members a segment gets at a band's upper end.
@@ -137,47 +139,49 @@ def segment_keys(members: np.ndarray) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, U)
 
 
-def whole_sketch(members: np.ndarray) -> np.ndarray:
-    """Parities of the members' counts at each of 64 * SKETCH_WORDS bits, as 64-bit words."""
-    at = (mix(members + U(0x51ED27)) >> U(40)) % U(64 * SKETCH_WORDS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1).view(np.int64)
+def whole_sketch(members: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parities of the members' counts at each of 64 * words bits, as 64-bit words; a power of two of them."""
+    at = (mix(members + U(0x51ED27)) >> U(40)) % U(64 * words)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two sketches differ; the longer one is folded to the other's length."""
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
+    return int(np.bitwise_count((a ^ b).view(U)).sum())
 
 
 # ---- the stages ---------------------------------------------------------------------------
 
-NAMES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+SKETCH = [f"w{i}" for i in range(SKETCH_WORDS)]
+NAMES = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_shingles", "node", *SKETCH)])
 KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 MET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("leader", pa.int64())])
-SETS = pa.schema([("node", pa.int64()), ("members", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-
-
-def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size, node = [], []
-        for text in b.column(1):
-            m = shingles(text.as_py())
-            size.append(len(m))
-            node.append(node_of(m) if len(m) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64())], schema=NAMES)
+READ = pa.schema([*NAMES, ("keys", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("members", pa.binary())])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sent: set[int] = set()  # copies in one partition send their keys once
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names, sketches and keys of each text; copies in one partition give their keys once."""
+    sent: set[int] = set()
     for b in batches:
-        keys, nodes = [], []
-        for text in b.column(1):
-            m = shingles(text.as_py())
-            if not len(m) or (node := node_of(m)) in sent:
-                continue
-            sent.add(node)
-            found = segment_keys(m)
-            keys.append(found)
-            nodes.append(np.full(len(found), node, np.int64))
-            if len(keys) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], schema=KEYS)
-                keys, nodes = [], []
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], schema=KEYS)
+        for at in range(0, len(b), 512):
+            size, node, sketches, keys = [], [], [], []
+            ids = b.column(0)[at : at + 512]
+            for known, text in zip(ids.is_valid().to_pylist(), b.column(1)[at : at + 512]):
+                m = shingles(text.as_py())
+                size.append(len(m))
+                node.append(node_of(m) if len(m) else None)
+                sketches.append(whole_sketch(m))
+                if not known or node[-1] is None or node[-1] in sent:
+                    keys.append(np.zeros(0, np.int64))
+                    continue
+                sent.add(node[-1])
+                keys.append(segment_keys(m).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), *map(pa.array, np.stack(sketches, axis=1)), lists], schema=READ)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +211,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(node_of(m), m.tobytes(), whole_sketch(m).tolist()) for t in b.column(0) if len(m := shingles(t.as_py()))]
+        rows = [(node_of(m), len(m), whole_sketch(m, max(SKETCH_WORDS, 1 << (4 * len(m) // 64).bit_length())).tobytes(), m.tobytes()) for t in b.column(0) if len(m := shingles(t.as_py()))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SETS)], schema=SETS)
 
 
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n, m, wide a, wide b) whose wide sketches allow a link."""
+    for b in batches:
+        cols = [b.column(i).to_pylist() for i in range(2, 6)]
+        keep = pa.array([9 * bits_apart(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) <= n + m for n, m, x, y in zip(*cols)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fits = []
@@ -223,11 +235,42 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
-    one = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    two = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(_verify, "a bigint, b bigint")
+class _Verifier:
+    """Links among pairs of nodes: whole sketches first, then the sets of the texts that are left."""
+
+    def __init__(self, read: DataFrame, nodes: DataFrame, scratch: Scratch):
+        self.read, self.nodes, self.scratch = read, nodes, scratch
+        a, b = nodes.alias("x"), nodes.alias("y")
+        self.sides = a, b
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs (a, b) that are linked, written to the scratch folder."""
+        x, y = self.sides
+        close = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & may_link("x", "y"))
+        close = self.scratch.keep(close.select("a", "b", F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")), "close")
+        return self.verified(close)
+
+    def verified(self, close: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b, rep_a, rep_b) that are linked by their sets."""
+        reps = self.scratch.keep(close.select(F.explode(F.array("rep_a", "rep_b")).alias("doc_id")).distinct(), "reps")
+        wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+        sets = self.read.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node bigint, n bigint, wide binary, members binary")
+        sets = self.scratch.keep(sets, "sets")
+        side = lambda node, *columns: sets.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}_{node}") for c in columns))
+        pairs = close.select("a", "b").join(side("a", "n", "wide"), "a").join(side("b", "n", "wide"), "b")
+        pairs = self.scratch.keep(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_sift, "a bigint, b bigint").distinct(), "sifted")
+        one, two = side("a", "members").withColumnRenamed("members_a", "ma"), side("b", "members").withColumnRenamed("members_b", "mb")
+        found = pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(_verify, "a bigint, b bigint")
+        found = self.scratch.keep(found, "links")
+        self.scratch.drop(sets, reps, close, pairs)
+        return found
+
+
+def may_link(x: str, y: str):
+    """Whether sizes and whole sketches allow a link: each differing bit is a differing member."""
+    hamming = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in SKETCH), F.lit(0))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * hamming <= n + m)
 
 
 def _ordered(a, b) -> list:
@@ -245,55 +288,67 @@ def similar_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     spark = df.sparkSession
     scratch = Scratch(spark, "parity-join")
     read = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    named = scratch.keep(read.mapInArrow(_name, "doc_id bigint, n_shingles bigint, node bigint"), "names")
-    nodes = named.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-
-    keys = read.where("doc_id IS NOT NULL").mapInArrow(_keys, "key bigint, node bigint")
+    named = scratch.keep(read.mapInArrow(_read, ", ".join(f"{c} bigint" for c in NAMES.names) + ", keys array<bigint>"), "names")
+    whole = named.where("doc_id IS NOT NULL AND node IS NOT NULL")
+    nodes = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *(F.max(w).alias(w) for w in SKETCH))
+    nodes = scratch.keep(nodes, "nodes")
+    keys = whole.select(F.explode("keys").alias("key"), "node")
     met = scratch.keep(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "key bigint, node bigint, leader bigint"), "met")
-
-    reps = nodes.join(met.select("node").distinct(), "node").select(F.col("rep").alias("doc_id")).distinct()
-    reps = scratch.keep(reps, "reps")
-    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    sets = read.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node bigint, members binary, sketch array<bigint>")
-    sets = scratch.keep(sets, "sets")
+    slim = scratch.keep(named.select("doc_id", "n_shingles", "node"), "slim")
+    scratch.drop(named)
 
     # Each node with its key's leader; then, where components still meet in a key, with another one.
-    pairs = met.where("node <> leader").select(*_ordered("node", "leader")).distinct()
-    links = scratch.keep(_links(pairs, sets), "links")
+    check = _Verifier(read, nodes, scratch)
+    links = check.links(met.where("node <> leader").select(*_ordered("node", "leader")).distinct())
     groups = scratch.keep(components(spark, links, scratch), "groups")
+    others = met.where("node <> leader").select("key", "node")  # every one of them has been compared with the leader
     for turn in range(1, STAR_ROUNDS):
-        apart = _apart(met, groups)
+        apart = scratch.keep(_apart(others, groups), "apart")
         leader = apart.groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("leader"), F.min_by("group", F.xxhash64(F.lit(turn), "node")).alias("leads"))
-        pairs = apart.join(leader, "key").where("group <> leads").select(*_ordered("node", "leader")).distinct()
-        links = links.union(scratch.keep(_links(pairs, sets), "links"))
+        links = links.union(check.links(apart.join(leader, "key").where("group <> leads").select(*_ordered("node", "leader")).distinct()))
         groups = scratch.keep(components(spark, links, scratch), "groups")
+        scratch.drop(apart)
 
     # What a key still holds apart, in pairs that whole sketches allow.
-    words = [F.element_at("sketch", i + 1).alias(f"w{i}") for i in range(SKETCH_WORDS)]
-    left = _apart(met, groups).join(sets.select("node", (F.length("members") / 8).cast("int").alias("n"), *words).dropDuplicates(["node"]), "node")
-    left = scratch.keep(left, "apart")
-    a, b = left.alias("a"), left.alias("b")
-    hamming = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    fits = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.group") != F.col("b.group"))
-        & (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")) & (9 * hamming <= F.col("a.n") + F.col("b.n"))
-    )
-    pairs = a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    links = links.union(scratch.keep(_links(pairs, sets), "links"))
+    left = scratch.keep(_apart(others, groups).join(nodes, "node"), "apart")
+    a, b = left.alias("x"), left.alias("y")
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group")) & may_link("x", "y")
+    close = a.join(b, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct()
+    links = links.union(check.verified(scratch.keep(close, "close")))
+    scratch.drop(left)
     groups = components(spark, links, scratch)
 
-    least = groups.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    least = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     to = scratch.keep(groups.join(least, "component").select("node", "least"), "components")
-    placed = nodes.join(to, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    return named.join(placed, "node", "left").select(
+    placed = nodes.select("node", "rep").join(to, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    return slim.join(placed, "node", "left").select(
         F.col("doc_id").alias(key), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _apart(met: DataFrame, groups: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows (key, node, group) of the keys that hold several components; a lone node is its own."""
-    placed = met.select("key", "node").join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    placed = rows.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     several = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    return placed.join(several, "key")
+    return placed.join(several, "key").select("key", "node", "group")
+
+
+def keep_one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, but for those linked to a row of a lesser key.
+
+    Of rows with one key and one set of shingles one stays, where keys repeat. Texts without words
+    and rows with a null key all stay.
+    """
+    gone_key = fresh(df, "gone")
+    found = similar_components(df, key=key, text=text).select(F.col(key).alias(gone_key), "component_id")
+    found = Scratch(df.sparkSession, "near-copies").keep(found, "components")
+    gone = found.where(F.col("component_id") != F.col(gone_key)).select(gone_key).distinct()
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = df.join(side, F.col(f"`{key}`").cast("long") == F.col(gone_key), "left_anti")
+    sizes = found.agg(F.count(gone_key), F.count_distinct(gone_key)).first()
+    if sizes[0] == sizes[1]:
+        return kept
+    lone = F.col(f"`{key}`").isNull() | F.coalesce(F.trim(F.col(f"`{text}`")) == "", F.lit(True))
+    return kept.where(lone).unionByName(kept.where(~lone).dropDuplicates([key, text]))
 
 
 def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept

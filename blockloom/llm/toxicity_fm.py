@@ -164,6 +164,19 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
     return documents.select(F.col(f"`{key}`").cast("long"), f"`{text}`").mapInArrow(run, f"`{key}` bigint, score double")
 
 
+def keep_clean(documents: DataFrame, model: Model, *, text: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows, with all their columns, whose text scores under ``reject``; null is an empty text. Narrow."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(t.as_py() or "") < reject for t in b.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = train(documents, table(spark, sf_dir, "labels"))
