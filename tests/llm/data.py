@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _key bigint, node bigint, key string, template string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, doc bigint, gone bigint, key string, template string"
 
 
 def prose(rng: random.Random, words: int) -> str:
