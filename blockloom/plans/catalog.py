@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bytes as byte_plans
 from . import codecs as codec_plans
+from . import mosaics as mosaic_plans
 from . import raster as raster_plans
 
-PLANS = [byte_plans, raster_plans, codec_plans]
+PLANS = [byte_plans, raster_plans, codec_plans, mosaic_plans]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
