@@ -34,7 +34,7 @@ from .shared import Scratch, components, fresh, table
 
 WORDS = 5
 #: Upper ends of size bands grow by this; members a segment gets at a band's upper end.
-RATIO, LOAD = 1.5, 3.4
+RATIO, LOAD = 1.25, 3.6
 #: Sketches that a text may need until one has enough segments with bits.
 FAMILIES = 8
 #: Whole sketches hold so many 64-bit words.
@@ -57,7 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words seen; starts afresh at ``limit``."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
