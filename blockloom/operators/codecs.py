@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from blockloom.functions import entropy as E
@@ -125,6 +125,14 @@ def decompress_blocks(df: DataFrame, transform: str = "BWT+MTF", entropy: str =
     return _mapped(df, ["coded", "n_in", "used", "checksum"], row, added)
 
 
+def watched(df: DataFrame, name: str):
+    """``df`` of coded blocks, and an observation that a finished action fills: blocks, n_in, stage1, n_out, skipped."""
+    seen = Observation(name)
+    watched_ = df.observe(
+        seen, F.count(F.lit(1)).alias("blocks"), F.sum("n_in").alias("n_in"), F.sum("stage1_size").alias("stage1"), F.sum("n_out").alias("n_out"), F.sum((~F.col("used")).cast("long")).alias("skipped"))
+    return watched_, seen
+
+
 def round_trip(df: DataFrame, transform: str, entropy: str) -> DataFrame:
     """Blocks (with n_in) coded and decoded again: adds n_out and digest of what came back."""
     back = decompress_blocks(compress_blocks(df, transform, entropy), transform, entropy)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.functions import numeric
+from blockloom.functions import numeric, quantizers
 from blockloom.operators import raster as R
 
 from .bytes import read
@@ -145,11 +145,7 @@ STEPS = [
     502, 475, 450, 426, 404, 383, 363, 344, 327, 310, 295, 280, 266, 253, 241, 229, 218, 208, 198, 189, 180, 172, 164, 156, 149, 143, 136, 130, 125, 119, 114, 109,
     105, 100, 96, 92, 89, 85, 82, 79, 76, 73, 70, 67, 65, 62, 60, 58, 56, 54, 52, 50, 48, 47, 45, 44, 42, 41, 40, 38, 37, 36, 35, 34, 33, 32, 24, 16,
 ]
-# The luma table of even steepness for blocks of 8 by 8.
-LUMA8 = [
-    32, 28, 30, 32, 40, 48, 56, 64, 28, 28, 30, 35, 44, 53, 64, 80, 30, 30, 32, 40, 50, 64, 80, 96, 32, 35, 40, 50, 60, 80, 96, 112,
-    40, 44, 50, 60, 80, 96, 112, 128, 48, 53, 64, 80, 96, 112, 128, 144, 56, 64, 80, 96, 112, 128, 144, 160, 64, 80, 96, 112, 128, 144, 160, 176,
-]
+LUMA8 = quantizers.table(8, "y", "balanced")
 
 
 def quantizer_lookup(spark, sf_dir):
@@ -158,6 +154,11 @@ def quantizer_lookup(spark, sf_dir):
     return index.select("q", F.element_at(F.array(*map(F.lit, STEPS)), F.least(F.greatest(F.col("q"), F.lit(0)), F.lit(len(STEPS) - 1)).cast("int") + 1).alias("step"))
 
 
+def quantizer_tables(spark, sf_dir):
+    rows = [(n, c, k, i, v) for n in (4, 8, 16, 32) for c in "yuv" for k in quantizers.KINDS for i, v in enumerate(quantizers.table(n, c, k))]
+    return spark.createDataFrame(rows, "side int, channel string, kind string, pos int, step int")
+
+
 def quantised_dct(spark, sf_dir, q: int = 60):
     """Cosine coefficients over the table's step, truncated toward zero."""
     done = images(spark, sf_dir).select("vec_id", R.transformed(F.col("r"), R.DCT8, 10).alias("c"))
@@ -170,7 +171,7 @@ QUERIES = {
     "contrast_lut": contrast_lut, "decimate": _raster(lambda p: R.decimate(p, SIDE, SIDE, 2)), "bilinear_down2": _raster(lambda p: R.bilinear_down(p, SIDE, SIDE, 2)),
     "bilinear_down4": _raster(lambda p: R.bilinear_down(p, SIDE, SIDE, 4)), "sobel_cost": _raster(lambda p: R.sobel(p, SIDE, SIDE)), "box_blur": box_blur,
     "wht8": _raster(lambda p: R.transformed(p, R.hadamard(8))), "dct8": _raster(lambda p: R.transformed(p, R.DCT8, 10)), "quantised_dct": quantised_dct, "psnr_pairs": psnr_pairs,
-    "region_variance": region_variance, "quadtree_variance": quadtree_variance, "hilbert_energy": hilbert_energy, "hotspots": hotspots, "scan_tables": scan_tables, "scalars": scalars, "quantizer_lookup": quantizer_lookup,
+    "region_variance": region_variance, "quadtree_variance": quadtree_variance, "hilbert_energy": hilbert_energy, "hotspots": hotspots, "scan_tables": scan_tables, "scalars": scalars, "quantizer_lookup": quantizer_lookup, "quantizer_tables": quantizer_tables,
 }
 
 PIX = """
@@ -218,7 +219,12 @@ HIL = "[" + ", ".join(str(p) for p in R.hilbert(8)) + "]"
 VAR = "CAST((sum(v * v) - sum(v) * sum(v) // count(*)) // count(*) AS BIGINT)"
 QUAD = "WITH" + PIX + ", p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, r[i + 1] AS v FROM (SELECT vec_id, r, unnest(range(64)) AS i FROM e)), " + ", ".join(
     f"n{s} AS (SELECT vec_id, {s} AS side, x // {s} * {s} AS x, y // {s} * {s} AS y, {VAR} AS variance FROM p GROUP BY vec_id, x // {s}, y // {s})" for s in (8, 4, 2))
+SMALL = ", ".join(f"('{c}', '{k}', {n}, {quantizers.table(n, c, k)})" for n in (4, 8) for c in "yuv" for k in quantizers.KINDS)
 ORACLES = {
+    # Larger tables in SQL: the place of the smaller table, or its last one.
+    "quantizer_tables": f"""WITH s(channel, kind, side, t) AS (VALUES {SMALL}),
+a AS (SELECT side, channel, kind, unnest(range(side * side)) AS pos, t FROM s UNION ALL SELECT big, channel, kind, unnest(range(big * big)), t FROM s, (VALUES (16), (32)) b(big) WHERE side = 8)
+SELECT CAST(side AS INT) AS side, channel, kind, CAST(pos AS INT) AS pos, CAST(CASE WHEN side <= 8 THEN t[pos + 1] WHEN pos % side < 8 AND pos // side < 8 THEN t[pos // side * 8 + pos % side + 1] ELSE t[64] END AS INT) AS step FROM a""",
     "reversible_yuv": P + " SELECT vec_id, CAST(pos AS INT) AS pos, (r + 2 * g + b) >> 2 AS y, r - g AS u, b - g AS v, r, g, b FROM p",
     "ycbcr444": P + YCC + """ SELECT *, least(greatest((4769 * (y - 16) + 6537 * (v - 128) + 2048) >> 12, 0), 255) AS r, least(greatest((4769 * (y - 16) - 1605 * (u - 128) - 3330 * (v - 128) + 2048) >> 12, 0), 255) AS g,
 least(greatest((4769 * (y - 16) + 8263 * (u - 128) + 2048) >> 12, 0), 255) AS b FROM c""",

@@ -52,6 +52,12 @@ def test_damaged_blocks_in_a_table(spark, rows):
     assert all(r.decoded == r.payload for r in back if r.ok)
 
 
+def test_progress_is_observed(spark, rows):
+    coded, seen = codecs.watched(codecs.compress_blocks(rows.withColumn("n_in", F.octet_length("payload")), "RLT", "NONE"), "progress")
+    kept = coded.collect()
+    assert seen.get["blocks"] == len(kept) and seen.get["n_in"] == sum(r.n_in for r in kept) and seen.get["skipped"] == sum(not r.used for r in kept)
+
+
 def test_codec_names(spark, rows):
     with pytest.raises(ValueError, match="no codec"):
         codecs.compress_blocks(rows, "NOPE")
