@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -285,6 +285,7 @@ class Utf8Stream:
 
 def _each(df: DataFrame, rank_path: str, pattern: str, row: Callable, columns: list[str], schema: str, types: pa.Schema) -> DataFrame:
     """Maps (key, value) rows through a codec that each worker makes once from the broadcast ranks."""
+    small_batches(df.sparkSession)
     with open(rank_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 # ---- layouts ------------------------------------------------------------------------------
 
@@ -99,6 +99,7 @@ def canonical_turns(records: DataFrame, *, conv: str = "conv_id", body: str = "r
     known layout, of bad JSON or null gives one row with null role and text, so nothing is lost
     silently: ``layout`` then holds its fingerprint, or null where it cannot be read.
     """
+    small_batches(records.sparkSession)
     known = registry(mappings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

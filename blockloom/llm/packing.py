@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 SIZE = 2048
 END_ID = 1
@@ -179,6 +179,7 @@ def pack(df: DataFrame, encoder_path: str, rank_path: str, pattern: str, *, key:
     alone; a null key stays null. An empty table gives no rows. Other columns are not read.
     sequence_id is unique: the partition's number and the sequence's in it.
     """
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     files = []
     for path in (encoder_path, rank_path):

@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows that Python workers are handed at a time, and bytes where Spark can tell: texts are long, and memory should follow neither.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to these bounds, unless the session has smaller ones."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        held = spark.conf.get(key, None)
+        if held is None or not 0 < int(held.rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +55,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
         self.count = 0

@@ -106,8 +106,8 @@ def exact_dedup(spark: SparkSession, path: str, *, key: str = "doc_id", text: st
     near = F.broadcast(hits) if repeated <= BROADCAST_ROWS else hits
     whole = scratch.keep(rows.join(near, "digest").select("digest", "normal", "id", "chars", "file", "row", keep.alias("kept")), "hits")
     first = whole.where("kept").select("digest", F.col("normal").alias("kept_normal"))
-    apart = whole.join(first, "digest").where("normal <> kept_normal").select("digest").distinct()
-    apart = scratch.keep(apart, "collisions")
+    # Written before it is made distinct: the join may then split a digest of very many rows over tasks.
+    apart = scratch.keep(whole.join(first, "digest").where("normal <> kept_normal").select("digest"), "collisions").distinct()
     if apart.isEmpty():
         scratch.drop(whole)
         return narrow.withColumn("digest", F.lower(F.hex("digest")))

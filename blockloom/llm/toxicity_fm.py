@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 PLACES = 1 << 20
 #: Labelled rows that are fitted: those of least hash of the identifier. A row is about 2 KB on the driver.
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 6_000
 MOST_ACTIVE = 4096
 FACTORS = 4
 REJECT = 0.7
@@ -73,12 +73,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, l1: float = 2e-3, rounds:
         rate = (float(labels.sum()) + 0.5) / (n + 1)
         return Model(bias=float(np.log(rate / (1 - rate))))
     lengths = np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(n), lengths)
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     flat = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.int32)
     kinds, col, df = np.unique(flat, return_inverse=True, return_counts=True)
     often = df >= 3 + n // 2500  # a term of fewer rows tells nothing yet
     row, col = row[often[col]], (np.cumsum(often) - 1)[col[often[col]]]
     kinds, df = kinds[often], df[often]
+    del flat, often
     scale = 1 / np.sqrt(df / n)  # so that rare words are as easily moved as common ones, to a bound
     scale = np.minimum(scale, 12.0)
 
@@ -153,6 +154,7 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
 
 def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows key, score (0 to 1) for every row, from the text alone; null is an empty text."""
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     types = pa.schema([(key, pa.int64()), ("score", pa.float64())])
 
@@ -166,6 +168,7 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
 
 def keep_clean(documents: DataFrame, model: Model, *, text: str = "text", reject: float = REJECT) -> DataFrame:
     """The rows, with all their columns, whose text scores under ``reject``; null is an empty text. Narrow."""
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text)
 
