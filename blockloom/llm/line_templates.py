@@ -90,6 +90,7 @@ def drop_recurring_lines(df: DataFrame, *, key: str = "doc_id", text: str = "tex
     scratch = Scratch(df.sparkSession, "line-templates")
     gone = recurring_lines(df, scratch, key=key, text=text)
     gone = scratch.keep(gone.groupBy("doc", "row").agg(F.collect_set("line").alias("gone")), "gone")
+    scratch.only(gone)
     doc, row, out = fresh(df, "doc"), fresh(df, "row"), fresh(df, "gone")
     gone = gone.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("gone").alias(out))
     fits = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) == F.col(row))

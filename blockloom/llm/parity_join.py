@@ -89,8 +89,8 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def node_of(members: np.ndarray) -> int:
-    """The set's own 64-bit name."""
-    return int(np.frombuffer(xxhash.xxh64_digest(members.tobytes()), ">i8")[0])
+    """The set's own name of 63 bits; the last bit is 0 and left to flags."""
+    return int(np.frombuffer(xxhash.xxh64_digest(members.tobytes()), ">i8")[0]) & ~1
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -157,13 +157,44 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
 SKETCH = [f"w{i}" for i in range(SKETCH_WORDS)]
 NAMES = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_shingles", "node", *SKETCH)])
 KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
-MET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("leader", pa.int64())])
-READ = pa.schema([*NAMES, ("keys", pa.list_(pa.int64()))])
+MET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("leader", pa.int64()), ("many", pa.bool_())])
+READ = pa.schema([*NAMES, *((n, pa.list_(pa.int64())) for n in ("keys", "leading", "led", "leaders"))])
 SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("members", pa.binary())])
 
 
+def _combined(keys: list[np.ndarray], nodes: list[int]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """What some texts' keys become before the shuffle: for each text, the keys it sends, and keys it is led in with their leaders.
+
+    A key that several of the texts have is sent once, by the first of them, its leader, with a flag that others follow.
+    """
+    size = [len(k) for k in keys]
+    flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), size)
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(flat) else np.zeros(0, bool)
+    at = np.maximum.accumulate(np.where(first, np.arange(len(flat)), 0))
+    lead = np.empty(len(flat), np.int64)
+    lead[order] = owner[order[at]] if len(flat) else owner
+    shared = np.zeros(len(flat), bool)
+    if len(flat):
+        follows = ~first
+        both = follows.copy()
+        both[at[follows]] = True
+        shared[order] = both
+    name = np.array(nodes, np.int64)
+    ends = np.cumsum(size)[:-1]
+    sends = lead == owner
+    cut = lambda x, keep: [p[k] for p, k in zip(np.split(x, ends), np.split(keep, ends))]
+    return list(zip(cut(flat, sends), cut(shared, sends))), cut(flat, shared), cut(name[lead] if len(flat) else lead, shared)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names, sketches and keys of each text; copies in one partition give their keys once."""
+    """Names, sketches and keys of each text; copies in one partition give their keys once.
+
+    ``keys`` are a text's own, ``leading`` those that others of its batch have too and leave to it to send;
+    ``led`` and ``leaders`` are all that texts of one batch share, with their leaders. So a key that very
+    many texts have is one row a batch in the shuffle.
+    """
     sent: set[int] = set()
     for b in batches:
         for at in range(0, len(b), 512):
@@ -178,35 +209,48 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append(np.zeros(0, np.int64))
                     continue
                 sent.add(node[-1])
-                keys.append(segment_keys(m).view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), *map(pa.array, np.stack(sketches, axis=1)), lists], schema=READ)
+                keys.append(np.unique(segment_keys(m)).view(np.int64))
+            sends, led, leaders = _combined(keys, [n or 0 for n in node])
+            own, leading = ([k[f == flag] for k, f in sends] for flag in (False, True))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs).astype(np.int64))) for xs in (own, leading, led, leaders)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), *map(pa.array, np.stack(sketches, axis=1)), *lists], schema=READ)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, node): those whose key has several nodes, with the key's least node."""
+    """From rows sorted by (key, node): those whose key has several nodes, with the key's least node.
+
+    ``many`` says that the key may have pairs besides those with the leader: it has three nodes, or
+    others follow one of them (the last bit of the node), or it crosses batches and so isn't counted.
+    """
     key0 = node0 = None
-    told = False  # whether the held row has been given
+    told = follow0 = False  # of the held row: whether it has been given; whether others follow
     for b in batches:
-        key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if key0 is not None:
-            key, node = np.concatenate([[key0], key]), np.concatenate([[node0], node])
+        key, flagged = b.column(0).to_numpy(), b.column(1).to_numpy()
+        held_over = key0 is not None
+        if held_over:
+            key, flagged = np.concatenate([[key0], key]), np.concatenate([[node0 | follow0], flagged])
         if not len(key):
             continue
+        node = flagged & ~1
         first = np.concatenate([[True], key[1:] != key[:-1]])
         at = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
         leader = node[at]
         other = (leader != node) & np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
         shown = other.copy()
         shown[at[other]] = True
+        many = np.bincount(at[other], minlength=len(key)) > 1
+        many |= np.bincount(at, flagged & 1, len(key)) > 0
+        last = at[-1]
+        many[last] = True
+        if held_over:
+            many[0] = True
         if told:
             shown[0] = False
-        held = at[-1]
-        told = bool(shown[held:].any()) or (told and held == 0)
-        key0, node0 = key[held], leader[-1]
+        follow0 = int((flagged[last:] & 1).any())
+        told = bool(shown[last:].any()) or (told and last == 0)
+        key0, node0 = key[last], leader[-1]
         if shown.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[shown]) for x in (key, node, leader)], schema=MET)
+            yield pa.RecordBatch.from_arrays([pa.array(x[shown]) for x in (key, node, leader, many[at])], schema=MET)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,12 +332,14 @@ def similar_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     spark = df.sparkSession
     scratch = Scratch(spark, "parity-join")
     read = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    named = scratch.keep(read.mapInArrow(_read, ", ".join(f"{c} bigint" for c in NAMES.names) + ", keys array<bigint>"), "names")
+    named = scratch.keep(read.mapInArrow(_read, ", ".join(f"{c} bigint" for c in NAMES.names) + "".join(f", {c} array<bigint>" for c in ("keys", "leading", "led", "leaders"))), "names")
     whole = named.where("doc_id IS NOT NULL AND node IS NOT NULL")
     nodes = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *(F.max(w).alias(w) for w in SKETCH))
     nodes = scratch.keep(nodes, "nodes")
-    keys = whole.select(F.explode("keys").alias("key"), "node")
-    met = scratch.keep(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "key bigint, node bigint, leader bigint"), "met")
+    sent = whole.select(F.explode("keys").alias("key"), "node").union(whole.select(F.explode("leading").alias("key"), F.col("node").bitwiseOR(F.lit(1))))
+    across = sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "key bigint, node bigint, leader bigint, many boolean")
+    inside = whole.select("node", F.explode(F.arrays_zip("led", "leaders")).alias("k")).select("k.led", "node", "k.leaders", F.lit(True))
+    met = scratch.keep(across.union(inside), "met")
     slim = scratch.keep(named.select("doc_id", "n_shingles", "node"), "slim")
     scratch.drop(named)
 
@@ -301,7 +347,7 @@ def similar_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     check = _Verifier(read, nodes, scratch)
     links = check.links(met.where("node <> leader").select(*_ordered("node", "leader")).distinct())
     groups = scratch.keep(components(spark, links, scratch), "groups")
-    others = met.where("node <> leader").select("key", "node")  # every one of them has been compared with the leader
+    others = met.where("many").select("key", "node").distinct()  # in the other keys, the one pair has been compared
     for turn in range(1, STAR_ROUNDS):
         apart = scratch.keep(_apart(others, groups), "apart")
         leader = apart.groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("leader"), F.min_by("group", F.xxhash64(F.lit(turn), "node")).alias("leads"))
@@ -320,6 +366,7 @@ def similar_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     least = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     to = scratch.keep(groups.join(least, "component").select("node", "least"), "components")
+    scratch.only(slim, nodes, to)
     placed = nodes.select("node", "rep").join(to, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     return slim.join(placed, "node", "left").select(
         F.col("doc_id").alias(key), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

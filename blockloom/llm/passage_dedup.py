@@ -83,12 +83,17 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 ROWS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("place", pa.int64())])
+READ = pa.schema([*ROWS, *((n, pa.int64()) for n in ("other", "other_doc", "other_place")), ("sent", pa.bool_())])
 FOUND = pa.schema([(n, pa.int64()) for n in ("content", "doc", "place", "other", "other_doc", "other_place")])
 SETS = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys of all paragraphs; ``place`` holds the first word above 32 bits of digits."""
+    """Band keys of all paragraphs; ``place`` holds the first word above 32 bits of digits.
+
+    Texts of one batch are collided at once: a row with ``sent`` goes on to the shuffle, which of a key
+    that many of them share is the first document's alone; one without has been compared here.
+    """
     for b in batches:
         out: list[list[np.ndarray]] = [[], [], [], []]
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -98,11 +103,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for keys in bands:
                 for to, x in zip(out, (keys.view(np.int64), np.full(len(at), doc, np.int64), content.view(np.int64), at << 32 | digits)):
                     to.append(x)
-            if len(out[0]) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=ROWS)
-                out = [[], [], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=ROWS)
+        if not out[0]:
+            continue
+        cols = [np.concatenate(x) for x in out]
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        made, at, abroad, _ = _collided(cols, 0, False)
+        none = pa.nulls(int((~abroad).sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[~abroad]) for c in cols), none, none, none, pa.array(np.ones(len(none), bool))], schema=READ)
+        if made is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(made[0]), pa.int64()), made[1], made[0], made[2], *made[3:], pa.array(np.zeros(len(made[0]), bool))], schema=READ)
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,13 +121,43 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((((apart >> (4 * i)) & 15) == 0).astype(np.int64) for i in range(DIGITS))
 
 
+def _collided(cols: list[np.ndarray], n_held: int, told: bool) -> tuple[list[pa.Array] | None, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key and document, the first ``n_held`` of which were given before if ``told``: columns of FOUND for
+    the rows of keys that several documents share; where each row's key begins; which rows are of another document than
+    their key's first; which keys (at their first row) several documents share.
+
+    A row of another document than the key's first is compared, by digits, with up to ``FIRST`` rows of that
+    first document, and names the likeliest if its content differs.
+    """
+    key, doc, content, place = cols
+    size = len(key)
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    at = np.maximum.accumulate(np.where(new_key, np.arange(size), 0))
+    abroad = doc != doc[at]
+    shared = np.zeros(size, bool)
+    shared[at[abroad]] = True
+    shown = shared[at]
+    if told:
+        shown[:n_held] = False
+    if not shown.any():
+        return None, at, abroad, shared
+    best, best_at = np.full(size, AGREE - 1), np.zeros(size, np.int64)
+    for t in range(FIRST):
+        i = np.minimum(at + t, size - 1)
+        fits = abroad & (at[i] == at) & ~abroad[i]
+        same = np.where(fits, np.where(content[i] == content, DIGITS + 1, _agreeing(place, place[i])), 0)
+        better = same > best
+        best, best_at = np.where(better, same, best), np.where(better, i, best_at)
+    none = ~((best >= AGREE) & (best <= DIGITS))[shown]
+    other = [pa.array(x[best_at][shown], mask=none) for x in (content, doc, place >> 32)]
+    return [pa.array(content[shown]), pa.array(doc[shown]), pa.array(place[shown] >> 32), *other], at, abroad, shared
+
+
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and document: those of keys that several documents share.
 
-    Neighbouring paragraphs of one text overlap and may share a key; that alone says nothing. A row
-    of another document than the key's first is compared, by digits, with up to ``FIRST`` rows of that
-    first document, and names the likeliest if its content differs. Between batches the first
-    document's rows are held, at most a text's paragraphs, however many rows share a key.
+    Neighbouring paragraphs of one text overlap and may share a key; that alone says nothing. Between
+    batches the first document's rows are held, at most a text's paragraphs, however many rows share a key.
     """
     held, told = None, False  # the last key's rows of its first document, and whether they have been given
     for b in batches:
@@ -127,28 +167,9 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_held = len(held[0]) if held else 0
         if held:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-        key, doc, content, place = cols
-        size = len(key)
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(new_key, np.arange(size), 0))
-        abroad = doc != doc[at]
-        shared = np.zeros(size, bool)
-        shared[at[abroad]] = True  # at a key's first row: several documents have it
-        shown = shared[at]
-        if told:
-            shown[:n_held] = False
-        best, best_at = np.full(size, AGREE - 1), np.zeros(size, np.int64)
-        for t in range(FIRST):
-            i = np.minimum(at + t, size - 1)
-            fits = abroad & (at[i] == at) & ~abroad[i]
-            same = np.where(fits, np.where(content[i] == content, DIGITS + 1, _agreeing(place, place[i])), 0)
-            better = same > best
-            best, best_at = np.where(better, same, best), np.where(better, i, best_at)
-        paired = (best >= AGREE) & (best <= DIGITS)
-        if shown.any():
-            none = ~paired[shown]
-            other = [pa.array(x[best_at][shown], mask=none) for x in (content, doc, place >> 32)]
-            yield pa.RecordBatch.from_arrays([pa.array(content[shown]), pa.array(doc[shown]), pa.array(place[shown] >> 32), *other], schema=FOUND)
+        made, at, abroad, shared = _collided(cols, n_held, told)
+        if made is not None:
+            yield pa.RecordBatch.from_arrays(made, schema=FOUND)
         last = at[-1]
         told = bool(shared[last]) or (told and last == 0)
         mine = last + np.flatnonzero(~abroad[last:])
@@ -186,10 +207,13 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
     spark = df.sparkSession
     scratch = Scratch(spark, "passages")
     read = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL")
-    rows = read.mapInArrow(_rows, "key bigint, doc bigint, content bigint, place bigint")
+    names = ["content", "doc", "place", "other", "other_doc", "other_place"]
+    rows = read.mapInArrow(_rows, "key bigint, doc bigint, content bigint, place bigint, other bigint, other_doc bigint, other_place bigint, sent boolean")
+    rows = scratch.keep(rows, "rows")
     order = ["key", "doc", "content", "place"]
-    found = rows.repartition("key").sortWithinPartitions(*order).mapInArrow(_collide, "content bigint, doc bigint, place bigint, other bigint, other_doc bigint, other_place bigint")
-    found = scratch.keep(found, "found")
+    across = rows.where("sent").select(*order).repartition("key").sortWithinPartitions(*order).mapInArrow(_collide, ", ".join(f"{n} bigint" for n in names))
+    found = scratch.keep(across.union(rows.where("NOT sent").select(*names)), "found")
+    scratch.drop(rows)
 
     pairs = found.where("other IS NOT NULL AND other <> content")
     pairs = pairs.groupBy(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).agg(
@@ -206,6 +230,7 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
     members = found.select("content", "doc", "place").distinct()
     placed = members.join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc", "place", F.coalesce("component", "content").alias("component"))
     placed = scratch.keep(placed, "placed")
+    scratch.only(placed)
     several = placed.groupBy("component").agg(F.min("doc").alias("keep_doc"), F.max("doc").alias("last")).where("keep_doc < last").drop("last")
     return placed.join(several, "component").select("doc", "place", "component", "keep_doc")
 

@@ -59,6 +59,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.written: set[str] = set()
 
     def path(self, label: str) -> str:
         self.count += 1
@@ -67,6 +68,7 @@ class Scratch:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
         df.write.parquet(path)
+        self.written.add(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
@@ -75,6 +77,13 @@ class Scratch:
         for df in tables:
             self.remove(df._scratch_path)
 
+    def only(self, *tables: DataFrame) -> None:
+        """Drops all tables but these; nothing that is still to be computed may read another."""
+        kept = {df._scratch_path for df in tables}
+        for path in self.written - kept:
+            self.remove(path)
+        self.written &= kept
+
     def remove(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
