@@ -15,7 +15,7 @@ have smaller partners there, the one below.
   need no more comparing. What a key still holds apart is compared in all pairs, after whole
   sketches have shown that few enough members can differ.
 * A pair whose whole sketches differ in more bits than its sets may in members is dropped unseen:
-  first by short sketches in the join itself, then by sketches of four bits a member.
+  first by short sketches in the join itself, then by sketches of a bit or two a member.
 * Every other pair is verified on its sets, exactly: 100 * common >= 80 * union.
 """
 
@@ -255,7 +255,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(node_of(m), len(m), whole_sketch(m, max(SKETCH_WORDS, 1 << (4 * len(m) // 64).bit_length())).tobytes(), m.tobytes()) for t in b.column(0) if len(m := shingles(t.as_py()))]
+        rows = [(node_of(m), len(m), whole_sketch(m, max(SKETCH_WORDS, 1 << (len(m) // 64).bit_length())).tobytes(), m.tobytes()) for t in b.column(0) if len(m := shingles(t.as_py()))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SETS)], schema=SETS)
 
 
