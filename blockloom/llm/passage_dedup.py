@@ -230,9 +230,11 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
     members = found.select("content", "doc", "place").distinct()
     placed = members.join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc", "place", F.coalesce("component", "content").alias("component"))
     placed = scratch.keep(placed, "placed")
-    scratch.only(placed)
     several = placed.groupBy("component").agg(F.min("doc").alias("keep_doc"), F.max("doc").alias("last")).where("keep_doc < last").drop("last")
-    return placed.join(several, "component").select("doc", "place", "component", "keep_doc")
+    # Written before it is grouped by document: the join may then split a component of very many rows over tasks.
+    told = scratch.keep(placed.join(several, "component").select("doc", "place", "component", "keep_doc"), "told")
+    scratch.only(told)
+    return told
 
 
 def merged_spans(pieces: list[tuple[int, int, int]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
