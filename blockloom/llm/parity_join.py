@@ -16,7 +16,8 @@ have smaller partners there, the one below.
   sketches have shown that few enough members can differ.
 * A pair whose whole sketches differ in more bits than its sets may in members is dropped unseen:
   first by short sketches in the join itself, then by sketches of a bit or two a member.
-* Every other pair is verified on its sets, exactly: 100 * common >= 80 * union.
+* Every other pair is verified on its sets, exactly: 100 * common >= 80 * union; by halves of the hashes
+  where they leave no doubt, and else by whole ones.
 """
 
 from __future__ import annotations
@@ -159,7 +160,9 @@ NAMES = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_shingles", "node", *SK
 KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 MET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("leader", pa.int64()), ("many", pa.bool_())])
 READ = pa.schema([*NAMES, *((n, pa.list_(pa.int64())) for n in ("keys", "leading", "led", "leaders"))])
-SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("members", pa.binary())])
+SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("halves", pa.binary()), ("members", pa.binary())])
+#: Common halves of hashes that may be so by chance; a pair this near to the bound is compared by whole hashes.
+SLACK = 4
 
 
 def _combined(keys: list[np.ndarray], nodes: list[int]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
@@ -255,7 +258,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(node_of(m), len(m), whole_sketch(m, max(SKETCH_WORDS, 1 << (len(m) // 64).bit_length())).tobytes(), m.tobytes()) for t in b.column(0) if len(m := shingles(t.as_py()))]
+        rows = [(node_of(m), len(m), whole_sketch(m, max(SKETCH_WORDS, 1 << (len(m) // 64).bit_length())).tobytes(), np.unique((m >> U(32)).astype(np.uint32)).tobytes(), m.tobytes()) for t in b.column(0) if len(m := shingles(t.as_py()))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SETS)], schema=SETS)
 
 
@@ -267,6 +270,28 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
+def judged(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
+    """From sorted halves of the hashes of sets of n and m members: 1 if they are linked, -1 if not, 0 if whole hashes must tell.
+
+    Halves may agree by chance, and several of a set may be one half; so they bound what is in common.
+    """
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    most = common + min(n - len(a), m - len(b))
+    if 180 * most < 80 * (n + m):
+        return -1
+    chance = SLACK + (n * m >> 30)  # four times what is to be expected, besides
+    return int(180 * (common - chance) >= 80 * (n + m))
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n, m, halves a, halves b) that may be linked, and whether they are for certain."""
+    for b in batches:
+        cols = [b.column(i).to_pylist() for i in range(2, 6)]
+        found = [judged(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, m) for n, m, x, y in zip(*cols)]
+        keep = pa.array([f >= 0 for f in found], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([f == 1 for f in found if f >= 0], pa.bool_())], names=["a", "b", "certain"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fits = []
@@ -298,15 +323,17 @@ class _Verifier:
         """Those of the pairs (a, b, rep_a, rep_b) that are linked by their sets."""
         reps = self.scratch.keep(close.select(F.explode(F.array("rep_a", "rep_b")).alias("doc_id")).distinct(), "reps")
         wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-        sets = self.read.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node bigint, n bigint, wide binary, members binary")
+        sets = self.read.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node bigint, n bigint, wide binary, halves binary, members binary")
         sets = self.scratch.keep(sets, "sets")
         side = lambda node, *columns: sets.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}_{node}") for c in columns))
         pairs = close.select("a", "b").join(side("a", "n", "wide"), "a").join(side("b", "n", "wide"), "b")
         pairs = self.scratch.keep(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_sift, "a bigint, b bigint").distinct(), "sifted")
-        one, two = side("a", "members").withColumnRenamed("members_a", "ma"), side("b", "members").withColumnRenamed("members_b", "mb")
-        found = pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(_verify, "a bigint, b bigint")
+        told = pairs.join(side("a", "n", "halves"), "a").join(side("b", "n", "halves"), "b").select("a", "b", "n_a", "n_b", "halves_a", "halves_b").mapInArrow(_judge, "a bigint, b bigint, certain boolean")
+        told = self.scratch.keep(told.distinct(), "judged")
+        near = told.where("NOT certain").join(side("a", "members"), "a").join(side("b", "members"), "b").select("a", "b", "members_a", "members_b")
+        found = told.where("certain").select("a", "b").union(near.mapInArrow(_verify, "a bigint, b bigint"))
         found = self.scratch.keep(found, "links")
-        self.scratch.drop(sets, reps, close, pairs)
+        self.scratch.drop(sets, reps, close, pairs, told)
         return found
 
 

@@ -144,6 +144,23 @@ def test_linked_sets_share_a_key():
     assert tried > 1000
 
 
+def test_halves_never_contradict_whole_hashes():
+    rng = np.random.default_rng(7)
+    told = Counter()
+    for _ in range(3000):
+        n = int(rng.integers(1, 200))
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        if rng.random() < 0.3:
+            a[: n // 2] = (a[: n // 2] & np.uint64(0xFFFFFFFF)) | np.uint64(5 << 32)  # many of one half
+        b = np.concatenate([a[int(rng.integers(0, n // 4 + 1)) :], rng.integers(0, 2**64, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        halves = [np.unique((x >> np.uint64(32)).astype(np.uint32)) for x in (a, b)]
+        verdict = parity_join.judged(*halves, len(a), len(b))
+        told[verdict] += 1
+        assert not verdict or (verdict == 1) == parity_join.linked(a, b)
+    assert min(told[1], told[-1], told[0]) > 50
+
+
 @pytest.mark.parametrize("broadcast", [parity_join.BROADCAST_IDS, 0])
 def test_similar_components_against_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(parity_join, "BROADCAST_IDS", broadcast)
