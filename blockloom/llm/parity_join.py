@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, fresh, table
+from .shared import Scratch, components, fresh, releasing, table
 
 WORDS = 5
 #: Upper ends of size bands grow by this; members a segment gets at a band's upper end.
@@ -191,6 +191,7 @@ def _combined(keys: list[np.ndarray], nodes: list[int]) -> tuple[list[np.ndarray
     return list(zip(cut(flat, sends), cut(shared, sends))), cut(flat, shared), cut(name[lead] if len(flat) else lead, shared)
 
 
+@releasing
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names, sketches and keys of each text; copies in one partition give their keys once.
 
@@ -256,6 +257,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[shown]) for x in (key, node, leader, many[at])], schema=MET)
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [(node_of(m), len(m), whole_sketch(m, max(SKETCH_WORDS, 1 << (len(m) // 64).bit_length())).tobytes(), np.unique((m >> U(32)).astype(np.uint32)).tobytes(), m.tobytes()) for t in b.column(0) if len(m := shingles(t.as_py()))]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .parity_join import U, WORDS, _words, linked, mix
-from .shared import Scratch, components, fresh, table
+from .shared import Scratch, components, fresh, releasing, table
 
 #: Words in a paragraph, and on how many words at either side its place is the least.
 LENGTH, BESIDE = 32, 4
@@ -88,6 +88,7 @@ FOUND = pa.schema([(n, pa.int64()) for n in ("content", "doc", "place", "other",
 SETS = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
 
+@releasing
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band keys of all paragraphs; ``place`` holds the first word above 32 bits of digits.
 
@@ -176,6 +177,7 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [c[mine] for c in cols]
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of the paragraphs at the wanted places of each text."""
     for b in batches:

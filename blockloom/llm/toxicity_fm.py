@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import releasing, small_batches, table
 
 PLACES = 1 << 20
 #: Labelled rows that are fitted: those of least hash of the identifier. A row is about 2 KB on the driver.
@@ -140,6 +140,7 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
         .orderBy(F.xxhash64("key"), "key").limit(rows)
     )
 
+    @releasing
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([places_of(t.as_py() or "").tobytes() for t in b.column(2)], pa.binary())], names=["key", "label", "places"])
@@ -158,6 +159,7 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
     sent = documents.sparkSession.sparkContext.broadcast(model)
     types = pa.schema([(key, pa.int64()), ("score", pa.float64())])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
@@ -172,6 +174,7 @@ def keep_clean(documents: DataFrame, model: Model, *, text: str = "text", reject
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
