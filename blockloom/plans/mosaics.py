@@ -68,6 +68,11 @@ def event_blocks(spark, sf_dir):
     return blocking.blocks_of_table(read(spark, sf_dir, "events"), "user_id", "event_id", "event_type", 16)
 
 
+def event_blocks_flushed(spark, sf_dir):
+    """The same with each user's short last block: every event is in a block."""
+    return blocking.blocks_of_table(read(spark, sf_dir, "events"), "user_id", "event_id", "event_type", 16, short=True)
+
+
 QUERIES = {
     "gaussian": _made(lambda a: I.gaussian(a, 24)), "bilateral": _made(lambda a: I.bilateral(a, 2, 30)), "fast_bilateral": _made(lambda a: I.fast_bilateral(a, 2, 30)),
     "lighting": _made(lambda a: I.lit(a, 16, 16, 20, 120)), "rain_drop": _made(lambda a: I.rain_drop(a, 2, 8, 1)), "seam_shrink": _made(lambda a: I.carved(a, 4)), "seam_grow": _made(lambda a: I.carved(a, -4)),
@@ -79,7 +84,7 @@ QUERIES = {
     "back_upsample": _made(lambda a: I.upsampled(a, "six")[::2, ::2]), "back_wavelet": _made(lambda a: np.rint(I.inverse_dwt(I.dwt(a, 2), 2)).astype(np.int64)),
     **{f"back_wht{n}": _made(lambda a, n=n: _unblocks(np.stack([I.inverse_wht(I.wht(b)) for b in _blocks(a, n)]), 32)) for n in (4, 16, 32)},
     **{f"dct{n}": _made(lambda a, n=n: _unblocks(np.stack([I.dct(b, n, I.dct_matrix(n).shape[0].bit_length() + 2) for b in _blocks(a, n)]), 32)) for n in (4, 16, 32)},
-    "event_blocks": event_blocks,
+    "event_blocks": event_blocks, "event_blocks_flushed": event_blocks_flushed,
 }
 SAME = "WITH" + PIX + """,
 t AS (SELECT vec_id // 16 AS image_id, vec_id % 16 AS tile, r FROM e),
@@ -91,3 +96,4 @@ ORACLES = {
     "event_blocks": """WITH n AS (SELECT user_id AS key, event_id AS ord, coalesce(event_type, '') AS p, (row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) - 1) // 16 + 1 AS block_id FROM events)
 SELECT key, block_id, count(*) AS n_rows, min(ord) AS first_order, max(ord) AS last_order, string_agg(p, chr(10) ORDER BY ord, p) AS payload FROM n GROUP BY key, block_id HAVING count(*) = 16""",
 }
+ORACLES["event_blocks_flushed"] = ORACLES["event_blocks"].removesuffix(" HAVING count(*) = 16")

@@ -2,7 +2,8 @@
 
 A key's state holds the rows that do not fill a block yet, and the next block's number, so a batch
 only touches keys it has rows for. Rows keep the order they have within a key by ``order``; a late
-row goes to the block that is open when it arrives. ``flush`` gives the short last block at the end.
+row goes to the block that is open when it arrives. ``flush`` gives the short last block at the end,
+from the state in the stopped stream's checkpoint.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key bigint, block_id bigint, n_rows bigint, first_order bigint, last_order bigint, payload string"
@@ -37,13 +39,26 @@ def blocks_of_rows(stream: DataFrame, key: str, order: str, payload: str, rows:
     return stream.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def blocks_of_table(df: DataFrame, key: str, order: str, payload: str, rows: int) -> DataFrame:
-    """The same blocks from a table at once: what the stream must give after all its batches."""
+def flush(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The short last block of each key that has one: the rows the stream holds after its last committed batch.
+
+    ``checkpoint`` is the stopped stream's. Nothing is taken from the state, so a stream that is
+    started again goes on with the same rows, and its later blocks have them once more.
+    """
+    state = spark.read.format("statestore").load(checkpoint).select("key.key", "value.groupState.*")
+    state = state.where("held <> ''").select("key", F.col("next_block").alias("block_id"), F.split("held", "\n").alias("lines"))
+    ords = F.transform("lines", lambda x: F.substring_index(x, "\t", 1).cast("long"))
+    payloads = F.transform("lines", lambda x: F.substr(x, F.locate("\t", x) + 1))
+    return state.select("key", "block_id", F.size("lines").cast("long").alias("n_rows"), F.get(ords, F.lit(0)).alias("first_order"), F.get(ords, F.size("lines") - 1).alias("last_order"), F.array_join(payloads, "\n").alias("payload"))
+
+
+def blocks_of_table(df: DataFrame, key: str, order: str, payload: str, rows: int, short: bool = False) -> DataFrame:
+    """The same blocks from a table at once: what the stream must give after all its batches, and with ``short`` its flush too."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
     df = df.selectExpr(f"CAST(`{key}` AS bigint) AS key", f"CAST(`{order}` AS bigint) AS ord", f"replace(coalesce(CAST(`{payload}` AS string), ''), '\\n', ' ') AS payload")
     n = F.row_number().over(Window.partitionBy("key").orderBy("ord", "payload")) - 1
     cut = df.withColumn("block_id", (F.floor(n / rows) + 1).cast("long"))
     made = cut.groupBy("key", "block_id").agg(F.count("*").alias("n_rows"), F.min("ord").alias("first_order"), F.max("ord").alias("last_order"), F.array_sort(F.collect_list(F.struct("ord", "payload"))).alias("all"))
-    return made.where(F.col("n_rows") == rows).select("key", "block_id", "n_rows", "first_order", "last_order", F.array_join(F.transform("all", lambda x: x["payload"]), "\n").alias("payload"))
+    made = made if short else made.where(F.col("n_rows") == rows)
+    return made.select("key", "block_id", "n_rows", "first_order", "last_order", F.array_join(F.transform("all", lambda x: x["payload"]), "\n").alias("payload"))

@@ -80,3 +80,22 @@ def test_stream_gives_the_table_s_blocks(spark, tmp_path):
     query.stop()
     want = blocking.blocks_of_table(df, "user", "n", "text", 7)
     assert sorted(map(tuple, spark.table("blocks_out").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_flush_gives_the_rows_the_stream_holds(spark, tmp_path):
+    rng = random.Random(6)
+    data = [(rng.choice([0, 1, 2, 3, None]), i, rng.choice([f"row\t{i}", "", None, "a\nb"])) for i in range(200)] + [(9, 200 + i, "x") for i in range(14)]
+    df = spark.createDataFrame(data, "user bigint, n bigint, text string")
+    src, at = str(tmp_path / "in"), str(tmp_path / "c")
+    for i in range(3):
+        df.where(f"n >= {i * 80} AND n < {i * 80 + 80}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    query = blocking.blocks_of_rows(stream, "user", "n", "text", 7).writeStream.format("memory").queryName("blocks_held").option("checkpointLocation", at).start()
+    query.processAllAvailable()
+    query.stop()
+    short = blocking.flush(spark, at)
+    assert short.columns == spark.table("blocks_held").columns and all(0 < r.n_rows < 7 and r.key != 9 for r in short.collect())
+    got = spark.table("blocks_held").union(short).collect()
+    want = blocking.blocks_of_table(df, "user", "n", "text", 7, short=True).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    assert sum(r.n_rows for r in got) == len(data)
