@@ -3,9 +3,15 @@
 A passage may stand anywhere in a text, so paragraphs are cut by content: every word where a hash of
 two words is least among its neighbours opens a paragraph of ``LENGTH`` words. A passage of over
 50 words holds such places wherever it stands, and the same ones. Each paragraph's shingles have
-MinHash values in bands; paragraphs that collide in a band, if further MinHash digits agree, are
-compared by exact Jaccard likeness. Equal paragraphs are one class first; components are made of
-classes. In each component the least document keeps its paragraphs, and others lose theirs.
+MinHash values in bands; all paragraphs that collide in a band with another document's are linked
+where their exact Jaccard likeness is 0.8 or more. Equal paragraphs are one class first; components are
+made of classes. In each component the least document keeps its paragraphs, and others lose theirs.
+
+Links don't need pairs. Two paragraphs of ``SHINGLES`` shingles have 25 or more in common only where a
+run of ``RUN`` shingles stands in both, as any break inside costs each more than three; so equal hashes of
+runs are the links. A paragraph that repeats three words, or holds one word three times in a row, may
+take another one's shingles in another order; those are compared as sets, where prefixes of sets, rarest
+shingles first, meet.
 
 With one value a band and ``BANDS`` bands, two paragraphs of likeness s meet in a band with
 probability 1 - (1 - s) ** BANDS: 0.96 at 0.8, and 1 where they are equal; a passage has several.
@@ -28,15 +34,14 @@ from .shared import Scratch, components, fresh, releasing, table
 LENGTH, BESIDE = 32, 4
 SHINGLES = LENGTH - WORDS + 1
 BANDS = 2
-#: Further MinHash digits of four bits, and how many must agree before sets are compared.
-DIGITS, AGREE = 8, 4
-#: With so many rows of a key's first document each other row is compared.
-FIRST = 4
+#: Shingles that two paragraphs of likeness 0.8 have in common at least, and how many such runs a paragraph has.
+RUN = -(-80 * 2 * SHINGLES // 180)
+RUNS = SHINGLES - RUN + 1
 #: Rows of documents whose paragraphs are compared are broadcast up to this many (tens of bytes each).
 BROADCAST_ROWS = 200_000
 
-_SALTS = mix(np.arange(1, BANDS + DIGITS + SHINGLES + 1, dtype=U))
-_WEIGHTS = _SALTS[BANDS + DIGITS :] | U(1)
+_SALTS = mix(np.arange(1, BANDS + SHINGLES + 1, dtype=U))
+_WEIGHTS = _SALTS[BANDS:] | U(1)
 
 
 def ordered_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -66,31 +71,44 @@ def _contents(blocks: np.ndarray) -> np.ndarray:
     return mix((blocks * _WEIGHTS).sum(axis=1, dtype=U))
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places, content hashes, digits and band keys (one row a band) of the text's paragraphs."""
+def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, content hashes and band keys (one row a band) of the text's paragraphs."""
     h, s = ordered_shingles(text)
     at = places(h)
     if not len(at):
-        return at, np.zeros(0, U), np.zeros(0, np.int64), np.zeros((BANDS, 0), U)
-    blocks = sliding_window_view(s, SHINGLES)[at]
-    content = _contents(blocks)
-    least = np.stack([sliding_window_view(mix(s ^ salt), SHINGLES)[at].min(axis=1) for salt in _SALTS[: BANDS + DIGITS]])
-    bands = mix(least[:BANDS] + _SALTS[:BANDS, None])
-    digits = np.zeros(len(at), np.int64)
-    for row in least[BANDS:]:
-        digits = digits << 4 | (mix(row) & U(15)).astype(np.int64)
-    return at, content, digits, bands
+        return at, np.zeros(0, U), np.zeros((BANDS, 0), U)
+    content = _contents(sliding_window_view(s, SHINGLES)[at])
+    least = np.stack([sliding_window_view(mix(s ^ salt), SHINGLES)[at].min(axis=1) for salt in _SALTS[:BANDS]])
+    return at, content, mix(least + _SALTS[:BANDS, None])
+
+
+def plain(words: np.ndarray) -> np.ndarray:
+    """Which rows of word hashes repeat no three words and hold no word three times in a row."""
+    three = np.sort(mix(words[:, :-2] * U(5) + mix(words[:, 1:-1] * U(3) + words[:, 2:])), axis=1)
+    same = (words[:, 1:] == words[:, :-1])
+    return (three[:, 1:] != three[:, :-1]).all(axis=1) & ~(same[:, 1:] & same[:, :-1]).any(axis=1)
+
+
+def runs(blocks: np.ndarray) -> np.ndarray:
+    """Hashes of each row's runs of ``RUN`` shingles."""
+    return mix((sliding_window_view(blocks, RUN, axis=1) * _WEIGHTS[:RUN]).sum(axis=2, dtype=U))
+
+
+def prefix(members: np.ndarray) -> np.ndarray:
+    """So many of the sorted members that any set of likeness 0.8 has one of them in its own prefix."""
+    return members[: len(members) - -(-4 * len(members) // 5) + 1]
 
 
 ROWS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("place", pa.int64())])
-READ = pa.schema([*ROWS, *((n, pa.int64()) for n in ("other", "other_doc", "other_place")), ("sent", pa.bool_())])
-FOUND = pa.schema([(n, pa.int64()) for n in ("content", "doc", "place", "other", "other_doc", "other_place")])
+READ = pa.schema([*ROWS, ("sent", pa.bool_())])
+FOUND = pa.schema([(n, pa.int64()) for n in ("content", "doc", "place")])
+KEYED = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("runs", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("members", pa.binary())])
 SETS = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
 
 @releasing
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys of all paragraphs; ``place`` holds the first word above 32 bits of digits.
+    """Band keys of all paragraphs.
 
     Texts of one batch are collided at once: a row with ``sent`` goes on to the shuffle, which of a key
     that many of them share is the first document's alone; one without has been compared here.
@@ -98,11 +116,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list[np.ndarray]] = [[], [], [], []]
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-            at, content, digits, bands = paragraphs(text.as_py())
+            at, content, bands = paragraphs(text.as_py())
             if not len(at):
                 continue
             for keys in bands:
-                for to, x in zip(out, (keys.view(np.int64), np.full(len(at), doc, np.int64), content.view(np.int64), at << 32 | digits)):
+                for to, x in zip(out, (keys.view(np.int64), np.full(len(at), doc, np.int64), content.view(np.int64), at)):
                     to.append(x)
         if not out[0]:
             continue
@@ -110,25 +128,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort(cols[::-1])
         cols = [c[order] for c in cols]
         made, at, abroad, _ = _collided(cols, 0, False)
-        none = pa.nulls(int((~abroad).sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[~abroad]) for c in cols), none, none, none, pa.array(np.ones(len(none), bool))], schema=READ)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[~abroad]) for c in cols), pa.array(np.ones(int((~abroad).sum()), bool))], schema=READ)
         if made is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(made[0]), pa.int64()), made[1], made[0], made[2], *made[3:], pa.array(np.zeros(len(made[0]), bool))], schema=READ)
-
-
-def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many four-bit digits are equal."""
-    apart = (a ^ b) & 0xFFFFFFFF
-    return sum((((apart >> (4 * i)) & 15) == 0).astype(np.int64) for i in range(DIGITS))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(made[0]), pa.int64()), made[1], made[0], made[2], pa.array(np.zeros(len(made[0]), bool))], schema=READ)
 
 
 def _collided(cols: list[np.ndarray], n_held: int, told: bool) -> tuple[list[pa.Array] | None, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by key and document, the first ``n_held`` of which were given before if ``told``: columns of FOUND for
     the rows of keys that several documents share; where each row's key begins; which rows are of another document than
     their key's first; which keys (at their first row) several documents share.
-
-    A row of another document than the key's first is compared, by digits, with up to ``FIRST`` rows of that
-    first document, and names the likeliest if its content differs.
     """
     key, doc, content, place = cols
     size = len(key)
@@ -142,16 +150,7 @@ def _collided(cols: list[np.ndarray], n_held: int, told: bool) -> tuple[list[pa.
         shown[:n_held] = False
     if not shown.any():
         return None, at, abroad, shared
-    best, best_at = np.full(size, AGREE - 1), np.zeros(size, np.int64)
-    for t in range(FIRST):
-        i = np.minimum(at + t, size - 1)
-        fits = abroad & (at[i] == at) & ~abroad[i]
-        same = np.where(fits, np.where(content[i] == content, DIGITS + 1, _agreeing(place, place[i])), 0)
-        better = same > best
-        best, best_at = np.where(better, same, best), np.where(better, i, best_at)
-    none = ~((best >= AGREE) & (best <= DIGITS))[shown]
-    other = [pa.array(x[best_at][shown], mask=none) for x in (content, doc, place >> 32)]
-    return [pa.array(content[shown]), pa.array(doc[shown]), pa.array(place[shown] >> 32), *other], at, abroad, shared
+    return [pa.array(x[shown]) for x in (content, doc, place)], at, abroad, shared
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +176,32 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [c[mine] for c in cols]
 
 
+@releasing
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs and prefixes of the paragraphs at the wanted places of each text; for those that aren't plain, the set instead of runs."""
+    for b in batches:
+        cols: list[list] = [[], [], [], [], []]
+        odd: list[tuple] = []
+        for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            h, s = ordered_shingles(text.as_py())
+            at = np.array([p for p in wanted if p + SHINGLES <= len(s)], np.int64)  # rows of one key may have other texts
+            if not len(at):
+                continue
+            blocks = sliding_window_view(s, SHINGLES)[at]
+            simple, node = plain(sliding_window_view(h, LENGTH)[at]), _contents(blocks).view(np.int64)
+            first = prefix(np.sort(blocks[simple], axis=1).T).T
+            for to, x in zip(cols, (node[simple], np.full(len(first), doc), at[simple], runs(blocks[simple]).view(np.int64), first.view(np.int64))):
+                to.append(x)
+            for i in np.flatnonzero(~simple).tolist():
+                members = np.unique(blocks[i])
+                odd.append((int(node[i]), doc, int(at[i]), [], prefix(members).view(np.int64), members.tobytes()))
+        if cols[0]:
+            made = [np.concatenate(c) for c in cols]
+            lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), np.ascontiguousarray(x).ravel()) for x in made[3:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in made[:3]), *lists, pa.nulls(len(made[0]), pa.binary())], schema=KEYED)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in odd], f.type) for i, f in enumerate(KEYED)], schema=KEYED)
+
+
 @releasing
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of the paragraphs at the wanted places of each text."""
@@ -192,6 +217,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(members, pa.binary())], schema=SETS)
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = pa.array([np.frombuffer(x.as_py(), np.int64) for x in b.column(2)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["node", "odd", "shingles"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fits = pa.array([linked(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
@@ -209,25 +240,14 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
     spark = df.sparkSession
     scratch = Scratch(spark, "passages")
     read = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL")
-    names = ["content", "doc", "place", "other", "other_doc", "other_place"]
-    rows = read.mapInArrow(_rows, "key bigint, doc bigint, content bigint, place bigint, other bigint, other_doc bigint, other_place bigint, sent boolean")
+    names = ["content", "doc", "place"]
+    rows = read.mapInArrow(_rows, "key bigint, doc bigint, content bigint, place bigint, sent boolean")
     rows = scratch.keep(rows, "rows")
     order = ["key", "doc", "content", "place"]
     across = rows.where("sent").select(*order).repartition("key").sortWithinPartitions(*order).mapInArrow(_collide, ", ".join(f"{n} bigint" for n in names))
     found = scratch.keep(across.union(rows.where("NOT sent").select(*names)), "found")
     scratch.drop(rows)
-
-    pairs = found.where("other IS NOT NULL AND other <> content")
-    pairs = pairs.groupBy(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).agg(
-        F.min(F.when(F.col("content") < F.col("other"), F.struct("doc", "place", "other_doc", "other_place")).otherwise(F.struct(F.col("other_doc").alias("doc"), F.col("other_place").alias("place"), F.col("doc").alias("other_doc"), F.col("place").alias("other_place")))).alias("at"))
-    pairs = scratch.keep(pairs.select("a", "b", "at.*"), "pairs")
-    ends = pairs.select("doc", "place").union(pairs.select("other_doc", "other_place"))
-    wanted = scratch.keep(ends.groupBy("doc").agg(F.collect_set("place").alias("wanted")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = scratch.keep(read.join(side, "doc").select("text", "wanted").mapInArrow(_sets, "node bigint, members binary").dropDuplicates(["node"]), "sets")
-    one, two = (sets.select(F.col("node").alias(n), F.col("members").alias(f"m{n}")) for n in "ab")
-    links = scratch.keep(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(_verify, "a bigint, b bigint"), "links")
-    groups = components(spark, links, scratch)
+    groups = components(spark, _links(read, found, scratch), scratch)
 
     members = found.select("content", "doc", "place").distinct()
     placed = members.join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc", "place", F.coalesce("component", "content").alias("component"))
@@ -239,6 +259,47 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
     return told
 
 
+def _at(read: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows doc, text, wanted: texts of the documents that ``places`` (doc, place) name, with their places."""
+    wanted = scratch.keep(places.groupBy("doc").agg(F.collect_set("place").alias("wanted")), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return read.join(side, "doc").select("doc", "text", "wanted")
+
+
+def _links(read: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect all contents of ``found`` of likeness 0.8 or more."""
+    ends = found.groupBy("content").agg(F.min(F.struct("doc", "place")).alias("at")).select("at.doc", "at.place")
+    keyed = _at(read, ends, scratch).mapInArrow(_keyed, "node bigint, doc bigint, place bigint, runs array<bigint>, prefix array<bigint>, members binary")
+    keyed = scratch.keep(keyed.dropDuplicates(["node"]), "keyed")
+    run = keyed.select(F.explode("runs").alias("run"), F.col("node").alias("a"))
+    low = run.groupBy("run").agg(F.min("a").alias("b"), F.max("a").alias("high")).where("b < high").select("run", "b")
+    links = run.join(low, "run").where("a <> b").select("a", "b").distinct()
+
+    # The others: equal sets are one, and sets that differ are compared where their prefixes meet.
+    sets = keyed.where("members IS NOT NULL").select("node", "prefix", "members")
+    one = scratch.keep(sets.groupBy("members").agg(F.min("node").alias("node"), F.first("prefix").alias("prefix")), "sets")
+    links = links.union(sets.join(one.select("members", F.col("node").alias("b")), "members").where("node <> b").select(F.col("node").alias("a"), "b"))
+    large = scratch.keep(one.where(5 * F.octet_length("members") >= 4 * 8 * SHINGLES).select(F.explode("prefix").alias("key")).distinct(), "large")
+    simple = keyed.where("members IS NULL").select(F.explode("prefix").alias("key"), "doc", "place")
+    simple = simple.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "key", "left_semi").select("doc", "place")
+    other = _at(read, simple, scratch).select("text", "wanted").mapInArrow(_sets, "node bigint, members binary").dropDuplicates(["node"])
+    both = scratch.keep(one.select("node", F.lit(True).alias("odd"), "members").union(other.select("node", F.lit(False), "members")), "both")
+
+    each = both.mapInArrow(_listed, "node bigint, odd boolean, shingles array<bigint>").select("node", "odd", F.explode("shingles").alias("key"))
+    each = scratch.keep(each, "each")
+    often = each.groupBy("key").agg(F.count("*").alias("times"))
+    first = each.join(often, "key").groupBy("node", "odd").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("all"))
+    first = first.select("node", "odd", F.size("all").alias("n"), F.posexplode(F.expr("slice(all, 1, size(all) - int(ceil(size(all) * 4 / 5)) + 1)")).alias("i", "k"))
+    first = scratch.keep(first.where("k.times > 1").select("k.key", "node", "odd", "n", "i"), "first")
+    x, y = first.where("odd").alias("x"), first.alias("y")
+    common = F.ceil(F.expr("4 * (x.n + y.n) / 9"))  # of a linked pair, at least; so their first common shingle has so many others after it
+    fits = (F.col("x.i") <= F.col("x.n") - common) & (F.col("y.i") <= F.col("y.n") - common) & F.expr("x.node < y.node OR NOT y.odd")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    of = lambda name: both.select(F.col("node").alias(name), F.col("members").alias(f"m{name}")).dropDuplicates([name])
+    links = links.union(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ma", "mb").mapInArrow(_verify, "a bigint, b bigint").where("a <> b"))
+    return scratch.keep(links, "links")
+
+
 def merged_spans(pieces: list[tuple[int, int, int]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """Spans (from, to, keep_doc, component) of words that paragraphs (place, keep_doc, component) cover together."""
     out: list[list[int]] = []

@@ -336,6 +336,60 @@ def test_colliding_rows_across_batches():
     assert sum(want.values()) == sum(len(docs[r[0]]) > 1 for r in rows)
 
 
+def test_all_paragraphs_of_a_key_are_compared(spark):
+    """Against all pairs of the paragraphs that meet another document's: also those whose key's first document is like neither."""
+    rng = random.Random(21)
+    phrases, passages, loop = [prose(rng, 14) for _ in range(4)], [prose(rng, 30) for _ in range(6)], "ab cd ab cd ab ef "
+    rows = []
+    for i in range(160):
+        words = [prose(rng, 25), rng.choice(phrases), prose(rng, 20), rng.choice(passages), prose(rng, 25)]
+        if i % 5 == 0:
+            words += [loop * rng.randint(5, 8), rng.choice(["x", "y"]) * 3, prose(rng, 10)]
+        rows.append((rng.randint(0, 9) * 1000 + i, " ".join(words)))
+    met, sets = defaultdict(set), {}
+    for doc, text in rows:
+        at, content, *_, bands = passage_dedup.paragraphs(text)
+        _, s = passage_dedup.ordered_shingles(text)
+        for i, p in enumerate(at.tolist()):
+            sets[int(content[i])] = frozenset(s[p : p + passage_dedup.SHINGLES].tolist())
+            for band in bands:
+                met[int(band[i])].add((doc, p, int(content[i])))
+    found = {r for rs in met.values() if len({d for d, _, _ in rs}) > 1 for r in rs}
+    nodes = sorted({c for _, _, c in found})
+    pairs = [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if jaccard(sets[a], sets[b]) >= 0.8]
+    place = union([*pairs, *((n, n) for n in nodes)])
+    groups = defaultdict(set)
+    for doc, p, c in found:
+        groups[place[c]].add((doc, p))
+    want = {frozenset(g) for g in groups.values() if len({d for d, _ in g}) > 1}
+    got = defaultdict(set)
+    for r in passage_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got[r.component].add((r.doc, r.place))
+    assert {frozenset(g) for g in got.values()} == want
+
+
+def test_plain_paragraphs_are_linked_by_runs():
+    rng = random.Random(22)
+    near = 0
+    for _ in range(20_000):
+        n = rng.choice([8, 20, 60, 400])
+        words = [rng.randrange(n) for _ in range(60)]
+        other = list(words)
+        for _ in range(rng.randint(0, 2)):
+            at, to, size = rng.randrange(60), rng.randrange(60), rng.randint(0, 4)
+            other[at : at + rng.randint(0, 4)] = words[to : to + size]
+        k = rng.randint(7, 13)
+        a, b = (np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in (words[10:42], (other + words)[k : k + 32]))
+        if not passage_dedup.plain(np.stack([a, b])).all():
+            continue
+        s = [np.array([hash(tuple(x[i : i + passage_dedup.WORDS])) & (1 << 63) - 1 for i in range(passage_dedup.SHINGLES)], np.uint64) for x in (a.tolist(), b.tolist())]
+        likeness = jaccard(set(s[0].tolist()), set(s[1].tolist()))
+        ra, rb = passage_dedup.runs(np.stack(s)).tolist()
+        assert bool(set(ra) & set(rb)) == (likeness >= 0.8), (words, other)
+        near += 0.8 <= likeness < 1
+    assert near > 100
+
+
 def test_spans_merge():
     assert passage_dedup.merged_spans([(0, 5, 9), (10, 4, 8), (42, 6, 7), (90, 1, 1)]) == [(0, 74, 4, 7), (90, 122, 1, 1)]
     assert passage_dedup.merged_spans([]) == []
