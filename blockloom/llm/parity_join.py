@@ -12,12 +12,15 @@ have smaller partners there, the one below.
   the pigeonhole, it also sends those of a second sketch, and so on; of two linked texts either one
   has enough in some sketch, or both send all.
 * Nodes of one key are first compared with one leader each; nodes that are then in one component
-  need no more comparing. What a key still holds apart is compared in all pairs, after whole
-  sketches have shown that few enough members can differ.
-* A pair whose whole sketches differ in more bits than its sets may in members is dropped unseen:
-  first by short sketches in the join itself, then by sketches of a bit or two a member.
-* Every other pair is verified on its sets, exactly: 100 * common >= 80 * union; by halves of the hashes
-  where they leave no doubt, and else by whole ones.
+  need no more comparing. What a key still holds apart is compared in all pairs where it holds at most
+  ``PAIRED`` nodes. A larger key, such as a frequent shingle alone in its segment makes, is split: its nodes are
+  keyed again by the next sketches, together with the key, which linked ones must share as well.
+  A key that is as large after ``ROUNDS`` of that is compared by blocks of its nodes, any two in a group of their own.
+* A pair whose whole sketches, of a bit or two a member, differ in more bits than its sets may in members is dropped unseen.
+* Every other pair is verified on its sets, exactly: 100 * common >= 80 * union; large sets by halves of the hashes
+  where they leave no doubt, and else by whole ones. A leader's set goes to as many groups as its followers fill.
+
+Sets are named by 63-bit hashes: among n sets, n^2 / 2^64 are expected to share a name, and are then one.
 """
 
 from __future__ import annotations
@@ -30,20 +33,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import Scratch, components, fresh, releasing, table
 
 WORDS = 5
 #: Upper ends of size bands grow by this; members a segment gets at a band's upper end.
-RATIO, LOAD = 1.25, 3.6
+RATIO, LOAD = 1.25, 3.7
 #: Sketches that a text may need until one has enough segments with bits.
 FAMILIES = 8
-#: Whole sketches hold so many 64-bit words.
-SKETCH_WORDS = 16
-#: Identifiers of texts to be verified are broadcast up to this many (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 500_000
-#: Rounds of comparing with a leader before what is left of a key is compared in pairs.
-STAR_ROUNDS = 2
+#: Identifiers of texts to be verified, and pairs, are broadcast up to so many rows (8 and 40 bytes each); beyond, joins shuffle.
+BROADCAST_IDS = 200_000
+#: Nodes of a key that are compared in all pairs; larger keys are split so many times, and then go by blocks.
+PAIRED, ROUNDS = 64, 3
+#: Followers that a leader's set is compared with in one group.
+FOLLOWERS = 256
+#: Sets up to this size are compared by whole hashes at once.
+SMALL = 256
 
 U = np.uint64
 
@@ -112,8 +118,12 @@ def lower_bounds(size: int) -> list[int]:
     return _bounds
 
 
-def segment_keys(members: np.ndarray) -> np.ndarray:
-    """Keys of the set; any two different sets that are linked have one in common."""
+def segment_keys(members: np.ndarray, start: int = 0) -> np.ndarray:
+    """Keys of the set, by sketches from ``start`` on; any two different sets that are linked have one in common.
+
+    Of two linked sets the one that has enough segments with bits among the first so many agrees with the other in one of them;
+    so a set sends its segments in order, until it has one more with bits than may differ.
+    """
     size = len(members)
     low = lower_bounds(size)
     band = bisect_right(low, size) - 1
@@ -125,23 +135,24 @@ def segment_keys(members: np.ndarray) -> np.ndarray:
         if not most_apart:
             continue  # only equal sets are linked, and they are one node
         segments = int((low[pair_band + 1] - 1) / LOAD) + 2
-        for family in range(FAMILIES):
+        for family in range(start, start + FAMILIES):
             x = members if not family else np.sort(mix(members ^ U(family * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
             seg = ((x >> U(32)) * U(segments)) >> U(32)
-            bits = mix((seg << U(16)) | (x & U(0xFFFF)))
+            bits = mix((seg << U(32)) | (x & U(0xFFFFFFFF)))
             starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
             folded = np.bitwise_xor.reduceat(bits, starts)
-            some = folded != 0  # equal bits cancel, as in the sketch
+            some = np.flatnonzero(folded)[: most_apart + 1]  # equal bits cancel, as in the sketch
             keys.append(mix(folded[some] + mix(seg[starts][some] + U(family << 32) + U(pair_band << 40))))
-            if some.sum() > most_apart:
+            if len(some) > most_apart:
                 break
         else:
             keys.append(mix(np.array([pair_band], U) + U(1 << 60)))
     return np.concatenate(keys) if keys else np.zeros(0, U)
 
 
-def whole_sketch(members: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
-    """Parities of the members' counts at each of 64 * words bits, as 64-bit words; a power of two of them."""
+def whole_sketch(members: np.ndarray) -> np.ndarray:
+    """Parities of the members' counts at one to two bits a member (64 at least), as 64-bit words; a power of two of them."""
+    words = 1 << (len(members) // 64).bit_length()
     at = (mix(members + U(0x51ED27)) >> U(40)) % U(64 * words)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
 
@@ -155,14 +166,20 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
 
 # ---- the stages ---------------------------------------------------------------------------
 
-SKETCH = [f"w{i}" for i in range(SKETCH_WORDS)]
-NAMES = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_shingles", "node", *SKETCH)])
-KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+NAMES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
 MET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("leader", pa.int64()), ("many", pa.bool_())])
 READ = pa.schema([*NAMES, *((n, pa.list_(pa.int64())) for n in ("keys", "leading", "led", "leaders"))])
-SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("halves", pa.binary()), ("members", pa.binary())])
+SETS = pa.schema([("node", pa.int64()), ("members", pa.binary())])
+KEYS = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+PAIRS = pa.schema([(n, pa.int64()) for n in ("a", "b", "rep_a", "rep_b", "n_a", "n_b")])
+JUDGED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("certain", pa.bool_())])
 #: Common halves of hashes that may be so by chance; a pair this near to the bound is compared by whole hashes.
-SLACK = 4
+SLACK = 3
+
+
+def _types(schema: pa.Schema) -> str:
+    names = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
 def _combined(keys: list[np.ndarray], nodes: list[int]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
@@ -208,7 +225,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = shingles(text.as_py())
                 size.append(len(m))
                 node.append(node_of(m) if len(m) else None)
-                sketches.append(whole_sketch(m))
+                sketches.append(whole_sketch(m).tobytes())
                 if not known or node[-1] is None or node[-1] in sent:
                     keys.append(np.zeros(0, np.int64))
                     continue
@@ -217,7 +234,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sends, led, leaders = _combined(keys, [n or 0 for n in node])
             own, leading = ([k[f == flag] for k, f in sends] for flag in (False, True))
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs).astype(np.int64))) for xs in (own, leading, led, leaders)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), *map(pa.array, np.stack(sketches, axis=1)), *lists], schema=READ)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), *lists], schema=READ)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,19 +274,68 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[shown]) for x in (key, node, leader, many[at])], schema=MET)
 
 
-@releasing
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, rep_a, rep_b, n_a, n_b, sketch a, sketch b) whose sketches allow a link."""
     for b in batches:
-        rows = [(node_of(m), len(m), whole_sketch(m, max(SKETCH_WORDS, 1 << (len(m) // 64).bit_length())).tobytes(), np.unique((m >> U(32)).astype(np.uint32)).tobytes(), m.tobytes()) for t in b.column(0) if len(m := shingles(t.as_py()))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SETS)], schema=SETS)
+        sizes = zip(b.column(4).to_pylist(), b.column(5).to_pylist())
+        keep = [9 * bits_apart(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)) <= n + m for (n, m), x, y in zip(sizes, b.column(6), b.column(7))]
+        yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep, pa.bool_())) for i in range(6)], schema=PAIRS)
 
 
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, n, m, wide a, wide b) whose wide sketches allow a link."""
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, block, node, group, rep, n, sketch) sorted by (key, block): pairs of one key and block that may be linked.
+
+    A key and block has few rows, as its caller sees to; these are held, and no more.
+    """
+    held: list[tuple] = []
+    name = None
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(2, 6)]
-        keep = pa.array([9 * bits_apart(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) <= n + m for n, m, x, y in zip(*cols)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+        made: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:2] != name:
+                name, held = row[:2], []
+            _, _, node, group, rep, n, sketch = row
+            sketch = np.frombuffer(sketch, np.int64)
+            for other, group2, rep2, m, sketch2 in held:
+                if group != group2 and 5 * min(n, m) >= 4 * max(n, m) and 9 * bits_apart(sketch, sketch2) <= n + m:
+                    made.append((node, other, rep, rep2, n, m) if node < other else (other, node, rep2, rep, m, n))
+            held.append((node, group, rep, n, sketch))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], schema=PAIRS)
+
+
+def _sets(whole: bool):
+    """Sets of texts as sorted hashes; of large ones the halves, unless they are to be ``whole``."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 64):
+                node, members = [], []
+                for t in b.column(0)[at : at + 64]:
+                    m = shingles(t.as_py())
+                    if len(m):
+                        node.append(node_of(m))
+                        members.append((m if whole or len(m) <= SMALL else halves(m)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(members, pa.binary())], schema=SETS)
+
+    return run
+
+
+def _rekeyed(start: int):
+    """Each text's keys by the sketches from ``start`` on."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(node_of(m), np.unique(segment_keys(m, start)).view(np.int64)) for t in b.column(0) if len(m := shingles(t.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(KEYS)], schema=KEYS)
+
+    return run
+
+
+def halves(members: np.ndarray) -> np.ndarray:
+    return np.unique((members >> U(32)).astype(np.uint32))
 
 
 def judged(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
@@ -285,25 +351,29 @@ def judged(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
     return int(180 * (common - chance) >= 80 * (n + m))
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, n, m, halves a, halves b) that may be linked, and whether they are for certain."""
-    for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(2, 6)]
-        found = [judged(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, m) for n, m, x, y in zip(*cols)]
-        keep = pa.array([f >= 0 for f in found], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([f == 1 for f in found if f >= 0], pa.bool_())], names=["a", "b", "certain"])
+def _judge(whole: bool):
+    """From rows (a, salt, lead, node, n, members) sorted by (a, salt), leaders first: pairs that may be linked, and whether they are for certain."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, first, size = None, None, 0
+        for b in batches:
+            made: list[tuple] = []
+            plain = zip(*(b.column(i).to_pylist() for i in range(5)))
+            for (a, salt, lead, node, n), members in zip(plain, b.column(5)):
+                members = np.frombuffer(members.as_py(), U if whole or n <= SMALL else np.uint32)
+                if lead:
+                    name, first, size = (a, salt), members, n
+                elif (a, salt) == name:
+                    if first.dtype == members.dtype == U:
+                        found = 1 if linked(first, members) else -1
+                    else:
+                        found = judged(*(x if x.dtype != U else halves(x) for x in (first, members)), size, n)
+                    if found >= 0:
+                        made.append((a, node, found == 1))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), JUDGED)], schema=JUDGED)
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fits = []
-        last, held = None, None
-        for a, members, other in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-            if a != last:
-                last, held = a, np.frombuffer(members.as_py(), U)
-            fits.append(linked(held, np.frombuffer(other.as_py(), U)))
-        keep = pa.array(fits, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+    return run
 
 
 class _Verifier:
@@ -311,39 +381,37 @@ class _Verifier:
 
     def __init__(self, read: DataFrame, nodes: DataFrame, scratch: Scratch):
         self.read, self.nodes, self.scratch = read, nodes, scratch
-        a, b = nodes.alias("x"), nodes.alias("y")
-        self.sides = a, b
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are linked, written to the scratch folder."""
-        x, y = self.sides
-        close = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & may_link("x", "y"))
-        close = self.scratch.keep(close.select("a", "b", F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")), "close")
-        return self.verified(close)
+        x, y = self.nodes.alias("x"), self.nodes.alias("y")
+        close = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & F.expr("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
+        close = close.select("a", "b", F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), F.col("x.sketch").alias("sketch_a"), F.col("y.sketch").alias("sketch_b")).mapInArrow(_sift, _types(PAIRS))
+        return self.verified(self.scratch.keep(close, "close"))
 
     def verified(self, close: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b, rep_a, rep_b) that are linked by their sets."""
-        reps = self.scratch.keep(close.select(F.explode(F.array("rep_a", "rep_b")).alias("doc_id")).distinct(), "reps")
-        wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-        sets = self.read.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node bigint, n bigint, wide binary, halves binary, members binary")
-        sets = self.scratch.keep(sets, "sets")
-        side = lambda node, *columns: sets.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}_{node}") for c in columns))
-        pairs = close.select("a", "b").join(side("a", "n", "wide"), "a").join(side("b", "n", "wide"), "b")
-        pairs = self.scratch.keep(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_sift, "a bigint, b bigint").distinct(), "sifted")
-        told = pairs.join(side("a", "n", "halves"), "a").join(side("b", "n", "halves"), "b").select("a", "b", "n_a", "n_b", "halves_a", "halves_b").mapInArrow(_judge, "a bigint, b bigint, certain boolean")
-        told = self.scratch.keep(told.distinct(), "judged")
-        near = told.where("NOT certain").join(side("a", "members"), "a").join(side("b", "members"), "b").select("a", "b", "members_a", "members_b")
-        found = told.where("certain").select("a", "b").union(near.mapInArrow(_verify, "a bigint, b bigint"))
-        found = self.scratch.keep(found, "links")
-        self.scratch.drop(sets, reps, close, pairs, told)
+        """Those of the written pairs (a, b, rep_a, rep_b, n_a, n_b) that are linked by their sets."""
+        told = self.scratch.keep(self._compared(close, False), "judged")
+        found = told.where("certain").select("a", "b")
+        if not told.where("NOT certain").isEmpty():
+            near = close.join(told.where("NOT certain").select("a", "b"), ["a", "b"], "left_semi")
+            sure = self.scratch.keep(self._compared(near, True).select("a", "b"), "links")
+            found = found.union(sure)
+        self.scratch.drop(close)
         return found
 
-
-def may_link(x: str, y: str):
-    """Whether sizes and whole sketches allow a link: each differing bit is a differing member."""
-    hamming = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in SKETCH), F.lit(0))
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * hamming <= n + m)
+    def _compared(self, close: DataFrame, whole: bool) -> DataFrame:
+        small = close.count() <= BROADCAST_IDS
+        held = F.broadcast if small else lambda df: df
+        salts = close.groupBy("a").agg(F.min("n_a").alias("n"), F.ceil(F.count("*") / FOLLOWERS).alias("salts"))
+        follow = close.join(salts.select("a", "salts"), "a").select("a", F.expr("pmod(xxhash64(b), salts)").alias("salt"), F.lit(False).alias("lead"), F.col("b").alias("node"), F.col("n_b").alias("n"))
+        lead = salts.select("a", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(True).alias("lead"), F.col("a").alias("node"), "n")
+        wanted = follow.union(lead)
+        reps = close.select(F.explode(F.array("rep_a", "rep_b")).alias("doc_id")).distinct()
+        sets = self.read.join(held(reps), "doc_id", "left_semi").select("text").mapInArrow(_sets(whole), _types(SETS))
+        rows = sets.join(held(wanted), "node").select("a", "salt", "lead", "node", "n", "members")
+        order = [F.col("a"), F.col("salt"), F.col("lead").desc()]
+        return rows.repartition("a", "salt").sortWithinPartitions(*order).mapInArrow(_judge(whole), _types(JUDGED)).distinct()
 
 
 def _ordered(a, b) -> list:
@@ -358,73 +426,113 @@ def similar_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     Repeated rows and copies share a component. An empty table gives no rows. Other columns are
     not read.
     """
+    return _classes(df, key, text).select(F.col("doc_id").alias(key), "n_shingles", "component_id")
+
+
+def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows doc_id, n_shingles, node, component_id."""
     spark = df.sparkSession
     scratch = Scratch(spark, "parity-join")
     read = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    named = scratch.keep(read.mapInArrow(_read, ", ".join(f"{c} bigint" for c in NAMES.names) + "".join(f", {c} array<bigint>" for c in ("keys", "leading", "led", "leaders"))), "names")
+    named = scratch.keep(read.mapInArrow(_read, _types(READ)), "names")
     whole = named.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    nodes = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *(F.max(w).alias(w) for w in SKETCH))
-    nodes = scratch.keep(nodes, "nodes")
+    nodes = scratch.keep(whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     sent = whole.select(F.explode("keys").alias("key"), "node").union(whole.select(F.explode("leading").alias("key"), F.col("node").bitwiseOR(F.lit(1))))
-    across = sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "key bigint, node bigint, leader bigint, many boolean")
+    across = sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, _types(MET))
     inside = whole.select("node", F.explode(F.arrays_zip("led", "leaders")).alias("k")).select("k.led", "node", "k.leaders", F.lit(True))
     met = scratch.keep(across.union(inside), "met")
     slim = scratch.keep(named.select("doc_id", "n_shingles", "node"), "slim")
     scratch.drop(named)
 
-    # Each node with its key's leader; then, where components still meet in a key, with another one.
     check = _Verifier(read, nodes, scratch)
-    links = check.links(met.where("node <> leader").select(*_ordered("node", "leader")).distinct())
-    groups = scratch.keep(components(spark, links, scratch), "groups")
-    others = met.where("many").select("key", "node").distinct()  # in the other keys, the one pair has been compared
-    for turn in range(1, STAR_ROUNDS):
-        apart = scratch.keep(_apart(others, groups), "apart")
-        leader = apart.groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("leader"), F.min_by("group", F.xxhash64(F.lit(turn), "node")).alias("leads"))
-        links = links.union(check.links(apart.join(leader, "key").where("group <> leads").select(*_ordered("node", "leader")).distinct()))
+    links = groups = None
+    for turn in range(1, ROUNDS + 2):
+        # Each node with its key's leader; then, where components still meet in a key, with the others.
+        found = check.links(met.where("node <> leader").select(*_ordered("node", "leader")).distinct())
+        links = found if links is None else links.union(found)
         groups = scratch.keep(components(spark, links, scratch), "groups")
-        scratch.drop(apart)
-
-    # What a key still holds apart, in pairs that whole sketches allow.
-    left = scratch.keep(_apart(others, groups).join(nodes, "node"), "apart")
-    a, b = left.alias("x"), left.alias("y")
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group")) & may_link("x", "y")
-    close = a.join(b, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct()
-    links = links.union(check.verified(scratch.keep(close, "close")))
-    scratch.drop(left)
+        apart = _apart(met.where("many").select("key", "node").distinct(), groups)  # in the other keys, the one pair has been compared
+        apart = scratch.keep(apart.join(nodes, "node").withColumn("blocks", F.ceil(2 * F.col("size") / PAIRED)), "apart")
+        split = F.col("size") > PAIRED if turn <= ROUNDS else F.lit(False)
+        pairs = scratch.keep(_in_pairs(apart.where(~split)), "close")
+        if not pairs.isEmpty():
+            links = links.union(check.verified(pairs))
+        large = apart.where(split).select("key", "node", "rep")
+        if large.isEmpty():
+            break
+        met = scratch.keep(_split(read, large, turn * FAMILIES), "met")
     groups = components(spark, links, scratch)
 
     least = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     to = scratch.keep(groups.join(least, "component").select("node", "least"), "components")
     scratch.only(slim, nodes, to)
     placed = nodes.select("node", "rep").join(to, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    return slim.join(placed, "node", "left").select(
-        F.col("doc_id").alias(key), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return slim.join(placed, "node", "left").select("doc_id", "n_shingles", "node", component.alias("component_id"))
 
 
 def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (key, node, group) of the keys that hold several components; a lone node is its own."""
+    """Rows (key, node, group, size) of the keys that hold several components; a lone node is its own. size: nodes of the key."""
     placed = rows.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    several = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    return placed.join(several, "key").select("key", "node", "group")
+    several = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    return placed.join(several, "key").select("key", "node", "group", "size")
+
+
+def _in_pairs(apart: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, rep_a, rep_b, n_a, n_b) of nodes that a key holds apart and whose sketches allow a link.
+
+    A key of more than ``PAIRED`` nodes goes by blocks: each row to the pairs of its block and any.
+    """
+    cols = ["key", "block", "node", "group", "rep", "n", "sketch"]
+    few = apart.where(F.col("size") <= PAIRED).withColumn("block", F.lit(0).cast("long"))
+    own, other = F.expr("pmod(xxhash64(node), blocks)"), F.explode(F.expr("sequence(0L, blocks - 1)"))
+    many = apart.where(F.col("size") > PAIRED).withColumn("own", own).withColumn("other", other)
+    many = many.withColumn("block", F.xxhash64(F.least("own", "other"), F.greatest("own", "other")))
+    rows = few.select(*cols).union(many.select(*cols))
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_paired, _types(PAIRS)).distinct()
+
+
+def _split(read: DataFrame, large: DataFrame, start: int) -> DataFrame:
+    """Rows (key, node, leader, many): large keys' nodes by their keys and those of the sketches from ``start`` on."""
+    reps = large.select(F.col("rep").alias("doc_id")).distinct()
+    keyed = read.join(reps, "doc_id", "left_semi").select("text").mapInArrow(_rekeyed(start), _types(KEYS)).dropDuplicates(["node"])
+    rows = keyed.join(large.select("key", "node"), "node").select(F.explode("keys").alias("own"), "key", "node")
+    rows = rows.select(F.xxhash64("key", "own").alias("key"), "node").distinct()
+    leader = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(leader, "key").select("key", "node", "leader", (F.col("n") > 2).alias("many"))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, whose last column is a text, with the name of its set instead; null without words."""
+    for b in batches:
+        sets = (shingles(t.as_py()) for t in b.column(b.num_columns - 1))
+        names = pa.array([node_of(m) if len(m) else None for m in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], names], names=[*b.schema.names[:-1], "node"])
 
 
 def keep_one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, but for those linked to a row of a lesser key.
 
-    Of rows with one key and one set of shingles one stays, where keys repeat. Texts without words
-    and rows with a null key all stay.
+    Of rows with one key and one set of shingles one stays, where keys repeat; rows of one key and
+    different sets go or stay each by its own links. Texts without words and rows with a null key all stay.
     """
-    gone_key = fresh(df, "gone")
-    found = similar_components(df, key=key, text=text).select(F.col(key).alias(gone_key), "component_id")
-    found = Scratch(df.sparkSession, "near-copies").keep(found, "components")
-    gone = found.where(F.col("component_id") != F.col(gone_key)).select(gone_key).distinct()
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = df.join(side, F.col(f"`{key}`").cast("long") == F.col(gone_key), "left_anti")
-    sizes = found.agg(F.count(gone_key), F.count_distinct(gone_key)).first()
+    gone_key, gone_node = fresh(df, "gone"), fresh(df, "gone_node")
+    found = Scratch(df.sparkSession, "near-copies").keep(_classes(df, key, text), "components")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_key), F.col("node").alias(gone_node)).distinct()
+    held = F.broadcast if gone.count() <= BROADCAST_IDS else lambda side: side
+    own = F.col(f"`{key}`").cast("long")
+    sizes = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if sizes[0] == sizes[1]:
-        return kept
-    lone = F.col(f"`{key}`").isNull() | F.coalesce(F.trim(F.col(f"`{text}`")) == "", F.lit(True))
-    return kept.where(lone).unionByName(kept.where(~lone).dropDuplicates([key, text]))
+        return df.join(held(gone.drop(gone_node)), own == F.col(gone_key), "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone_key))
+    once = df.join(again, own == F.col(gone_key), "left_anti").join(gone.drop(gone_node), own == F.col(gone_key), "left_anti")
+    node = fresh(df, "node")
+    types = StructType([*df.schema.fields, StructField(node, LongType())])
+    repeated = df.join(again, own == F.col(gone_key), "left_semi")
+    repeated = repeated.select("*", F.col(f"`{text}`").alias("node_text")).mapInArrow(_names, types)
+    kept = repeated.join(gone, (own == F.col(gone_key)) & (F.col(node) == F.col(gone_node)), "left_anti")
+    kept = kept.where(F.col(node).isNull()).union(kept.where(F.col(node).isNotNull()).dropDuplicates([key, node]))
+    return once.unionByName(kept.drop(node))
 
 
 def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:

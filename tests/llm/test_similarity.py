@@ -139,8 +139,8 @@ def test_linked_sets_share_a_key():
         if parity_join.linked(a, b) and not np.array_equal(a, b):
             tried += 1
             assert set(parity_join.segment_keys(a).tolist()) & set(parity_join.segment_keys(b).tolist())
-            apart = np.bitwise_count((parity_join.whole_sketch(a) ^ parity_join.whole_sketch(b)).view(np.uint64)).sum()
-            assert 9 * apart <= len(a) + len(b)
+            assert set(parity_join.segment_keys(a, 16).tolist()) & set(parity_join.segment_keys(b, 16).tolist())
+            assert 9 * parity_join.bits_apart(parity_join.whole_sketch(a), parity_join.whole_sketch(b)) <= len(a) + len(b)
     assert tried > 1000
 
 
@@ -161,9 +161,11 @@ def test_halves_never_contradict_whole_hashes():
     assert min(told[1], told[-1], told[0]) > 50
 
 
-@pytest.mark.parametrize("broadcast", [parity_join.BROADCAST_IDS, 0])
-def test_similar_components_against_brute_force(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast, small", [(parity_join.BROADCAST_IDS, 256), (0, 0)])
+def test_similar_components_against_brute_force(spark, monkeypatch, broadcast, small):
     monkeypatch.setattr(parity_join, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(parity_join, "SMALL", small)
+    monkeypatch.setattr(parity_join, "FOLLOWERS", 3)
     rng = random.Random(6)
     rows = odd_documents(spark).collect()
     texts = []
@@ -186,6 +188,33 @@ def test_similar_components_against_brute_force(spark, monkeypatch, broadcast):
     assert {k for k in alone if k is not None} == {c for c in want.values()} and alone[36] == 1
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_large_keys_are_split_and_lose_no_link(spark, monkeypatch, rounds):
+    monkeypatch.setattr(parity_join, "PAIRED", 4)
+    monkeypatch.setattr(parity_join, "ROUNDS", rounds)
+    rng = random.Random(9)
+    common = prose(rng, 60)
+    texts = []
+    for _ in range(40):  # all hold one passage; each has a near copy that others don't come near to
+        own = prose(rng, rng.choice([20, 40, 60])).split()
+        texts += [" ".join([common, *own]), " ".join([common, *own[1:]])]
+    base = prose(rng, 70).split()
+    texts += [" ".join([*base[:i], *(f"w{i}x{j}" for j in range(6)), *base[i:]]) for i in range(0, 60, 4)]  # like each other, not linked or just so
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in parity_join.similar_components(docs).collect()}
+    assert found == brute_components(word_sets(docs.collect()))
+
+
+def test_rows_of_one_key_go_by_their_own_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, b + " more"), (7, "\t"), (7, "\t"), (7, None), (9, c), (None, a)]
+    kept = parity_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    left = Counter((r.doc_id, r.text) for r in kept)
+    assert left[(1, a)] == left[(9, c)] == left[(None, a)] == left[(7, None)] == 1 and left[(7, "\t")] == 2
+    assert (5, a) not in left and left[(5, b)] == 1 and left[(5, b + " more")] == 1
+
+
 def test_similar_components_of_nothing(spark):
     assert parity_join.similar_components(empty_documents(spark)).collect() == []
 
@@ -200,7 +229,7 @@ def test_meeting_rows_across_batches():
         nodes[k].add(n & ~1)
         flags[k] |= bool(n & 1)
     for cut in (1, 3, 200):
-        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + cut]]), pa.array([n for _, n in rows[i : i + cut]])], schema=parity_join.KEYS) for i in range(0, 200, cut)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + cut]]), pa.array([n for _, n in rows[i : i + cut]])], names=["key", "node"]) for i in range(0, 200, cut)]
         found = [tuple(r.values()) for b in parity_join._meet(iter(batches)) for r in b.to_pylist()]
         assert {r[:3] for r in found} == {(k, n, min(ns)) for k, ns in nodes.items() if len(ns) > 1 for n in ns}
         for k in {r[0] for r in found}:
