@@ -14,8 +14,8 @@ have smaller partners there, the one below.
 * Nodes of one key are first compared with one leader each; nodes that are then in one component
   need no more comparing. What a key still holds apart is compared in all pairs where it holds at most
   ``PAIRED`` nodes. A larger key, such as a frequent shingle alone in its segment makes, is split: its nodes are
-  keyed again by the next sketches, together with the key, which linked ones must share as well.
-  A key that is as large after ``ROUNDS`` of that is compared by blocks of its nodes, any two in a group of their own.
+  keyed again by the next sketches, together with the key, which linked ones must share as well. Where that leaves no
+  less to compare, and after ``ROUNDS`` of it, a key goes by blocks of its nodes, any two blocks to a group of their own.
 * A pair whose whole sketches, of a bit or two a member, differ in more bits than its sets may in members is dropped unseen.
 * Every other pair is verified on its sets, exactly: 100 * common >= 80 * union; large sets by halves of the hashes
   where they leave no doubt, and else by whole ones. A leader's set goes to as many groups as its followers fill.
@@ -45,7 +45,7 @@ FAMILIES = 8
 #: Identifiers of texts to be verified, and pairs, are broadcast up to so many rows (8 and 40 bytes each); beyond, joins shuffle.
 BROADCAST_IDS = 200_000
 #: Nodes of a key that are compared in all pairs; larger keys are split so many times, and then go by blocks.
-PAIRED, ROUNDS = 64, 3
+PAIRED, ROUNDS = 1024, 2
 #: Followers that a leader's set is compared with in one group.
 FOLLOWERS = 256
 #: Sets up to this size are compared by whole hashes at once.
@@ -293,15 +293,36 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if row[:2] != name:
+                made += _near(held)
                 name, held = row[:2], []
-            _, _, node, group, rep, n, sketch = row
-            sketch = np.frombuffer(sketch, np.int64)
-            for other, group2, rep2, m, sketch2 in held:
-                if group != group2 and 5 * min(n, m) >= 4 * max(n, m) and 9 * bits_apart(sketch, sketch2) <= n + m:
-                    made.append((node, other, rep, rep2, n, m) if node < other else (other, node, rep2, rep, m, n))
-            held.append((node, group, rep, n, sketch))
+            held.append(row[2:])
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], schema=PAIRS)
+    if made := _near(held):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], schema=PAIRS)
+
+
+def _near(rows: list[tuple]) -> list[tuple]:
+    """Rows of PAIRS among rows (node, group, rep, n, sketch) of different groups whose sketches allow a link."""
+    if len(rows) < 2:
+        return []
+    rows = sorted(rows, key=lambda r: r[3])
+    node, group, rep, n = (np.array(c, np.int64) for c in zip(*(r[:4] for r in rows)))
+    width = np.array([len(r[4]) // 8 for r in rows])
+    until = np.searchsorted(4 * n, 5 * n, "right")  # rows of up to 5/4 times the size
+    made, folded, at = [], np.zeros((0, 0), np.int64), 0
+    for i in range(len(rows) - 1):
+        if until[i] <= i + 1:
+            continue
+        if folded.shape[1] != width[i]:  # what rows of this width may meet: their own width and the next
+            at, last = i, int(np.searchsorted(width, 2 * width[i], "right"))
+            folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[4], np.int64).reshape(-1, width[i]), axis=0) for r in rows[at:last]])
+        some = slice(i + 1, until[i])
+        apart = np.bitwise_count((folded[i + 1 - at : until[i] - at] ^ folded[i - at]).view(U)).sum(axis=1, dtype=np.int64)
+        for j in i + 1 + np.flatnonzero((9 * apart <= n[i] + n[some]) & (group[some] != group[i])):
+            x, y = (i, j) if node[i] < node[j] else (j, i)
+            made.append((node[x], node[y], rep[x], rep[y], n[x], n[y]))
+    return made
 
 
 def _sets(whole: bool):
@@ -453,14 +474,16 @@ def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
         groups = scratch.keep(components(spark, links, scratch), "groups")
         apart = _apart(met.where("many").select("key", "node").distinct(), groups)  # in the other keys, the one pair has been compared
         apart = scratch.keep(apart.join(nodes, "node").withColumn("blocks", F.ceil(2 * F.col("size") / PAIRED)), "apart")
-        split = F.col("size") > PAIRED if turn <= ROUNDS else F.lit(False)
-        pairs = scratch.keep(_in_pairs(apart.where(~split)), "close")
+        large = apart.where(F.col("size") > PAIRED).select("key", "node", "rep", "size")
+        met = None
+        if turn <= ROUNDS and not large.isEmpty():
+            met = scratch.keep(_split(read, large, turn * FAMILIES), "met")
+            apart = apart.join(met.select(F.col("whole").alias("key")).distinct(), "key", "left_anti")
+        pairs = scratch.keep(_in_pairs(apart), "close")
         if not pairs.isEmpty():
             links = links.union(check.verified(pairs))
-        large = apart.where(split).select("key", "node", "rep")
-        if large.isEmpty():
+        if met is None or met.isEmpty():
             break
-        met = scratch.keep(_split(read, large, turn * FAMILIES), "met")
     groups = components(spark, links, scratch)
 
     least = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
@@ -493,13 +516,18 @@ def _in_pairs(apart: DataFrame) -> DataFrame:
 
 
 def _split(read: DataFrame, large: DataFrame, start: int) -> DataFrame:
-    """Rows (key, node, leader, many): large keys' nodes by their keys and those of the sketches from ``start`` on."""
+    """Rows (whole, key, node, leader, many): nodes of large keys by these and their keys of the sketches from ``start`` on.
+
+    Only of the keys that leave fewer than half as many pairs so.
+    """
     reps = large.select(F.col("rep").alias("doc_id")).distinct()
     keyed = read.join(reps, "doc_id", "left_semi").select("text").mapInArrow(_rekeyed(start), _types(KEYS)).dropDuplicates(["node"])
-    rows = keyed.join(large.select("key", "node"), "node").select(F.explode("keys").alias("own"), "key", "node")
-    rows = rows.select(F.xxhash64("key", "own").alias("key"), "node").distinct()
-    leader = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(leader, "key").select("key", "node", "leader", (F.col("n") > 2).alias("many"))
+    rows = keyed.join(large.select("key", "node", "size"), "node").select(F.explode("keys").alias("own"), F.col("key").alias("whole"), "node", "size")
+    rows = rows.select("whole", "size", F.xxhash64("whole", "own").alias("key"), "node").distinct()
+    leader = rows.groupBy("whole", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.first("size").alias("size")).where("n > 1")
+    better = leader.groupBy("whole").agg(F.sum(F.col("n").cast("double") ** 2).alias("left"), F.first("size").alias("size")).where(F.col("left") * 2 < F.col("size").cast("double") ** 2)
+    chosen = leader.join(better.select("whole"), "whole", "left_semi").select("key", "leader", "n")
+    return rows.drop("size").join(chosen, "key").select("whole", "key", "node", "leader", (F.col("n") > 2).alias("many"))
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
