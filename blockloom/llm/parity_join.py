@@ -12,11 +12,12 @@ have smaller partners there, the one below.
   the pigeonhole, it also sends those of a second sketch, and so on; of two linked texts either one
   has enough in some sketch, or both send all.
 * Nodes of one key are first compared with one leader each; nodes that are then in one component
-  need no more comparing. What a key still holds apart is compared in all pairs where it holds at most
+  need no more comparing. Of what a key still holds apart, each node is compared with the one of the nearest sketch in
+  another component, and then, where components still meet, with all others where the key holds at most
   ``PAIRED`` nodes. A larger key, such as a frequent shingle alone in its segment makes, is split: its nodes are
   keyed again by the next sketches, together with the key, which linked ones must share as well. Where that leaves no
   less to compare, and after ``ROUNDS`` of it, a key goes by blocks of its nodes, any two blocks to a group of their own.
-* A pair whose whole sketches, of a bit or two a member, differ in more bits than its sets may in members is dropped unseen.
+* A pair whose whole sketches, of two to four bits a member, differ in more bits than its sets may in members is dropped unseen.
 * Every other pair is verified on its sets, exactly: 100 * common >= 80 * union; large sets by halves of the hashes
   where they leave no doubt, and else by whole ones. A leader's set goes to as many groups as its followers fill.
 
@@ -151,8 +152,8 @@ def segment_keys(members: np.ndarray, start: int = 0) -> np.ndarray:
 
 
 def whole_sketch(members: np.ndarray) -> np.ndarray:
-    """Parities of the members' counts at one to two bits a member (64 at least), as 64-bit words; a power of two of them."""
-    words = 1 << (len(members) // 64).bit_length()
+    """Parities of the members' counts at two to four bits a member (64 at least), as 64-bit words; a power of two of them."""
+    words = 1 << (len(members) // 32).bit_length()
     at = (mix(members + U(0x51ED27)) >> U(40)) % U(64 * words)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
 
@@ -282,28 +283,32 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep, pa.bool_())) for i in range(6)], schema=PAIRS)
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paired(nearest: bool):
     """From rows (key, block, node, group, rep, n, sketch) sorted by (key, block): pairs of one key and block that may be linked.
 
-    A key and block has few rows, as its caller sees to; these are held, and no more.
+    All such pairs, or each row's ``nearest`` partner alone. A key and block has few rows, as its caller sees to; these are held, and no more.
     """
-    held: list[tuple] = []
-    name = None
-    for b in batches:
-        made: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if row[:2] != name:
-                made += _near(held)
-                name, held = row[:2], []
-            held.append(row[2:])
-        if made:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        name = None
+        for b in batches:
+            made: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:2] != name:
+                    made += _near(held, nearest)
+                    name, held = row[:2], []
+                held.append(row[2:])
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], schema=PAIRS)
+        if made := _near(held, nearest):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], schema=PAIRS)
-    if made := _near(held):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], schema=PAIRS)
+
+    return run
 
 
-def _near(rows: list[tuple]) -> list[tuple]:
-    """Rows of PAIRS among rows (node, group, rep, n, sketch) of different groups whose sketches allow a link."""
+def _near(rows: list[tuple], nearest: bool) -> list[tuple]:
+    """Rows of PAIRS among rows (node, group, rep, n, sketch) of different groups whose sketches allow a link; with ``nearest``, each row's nearest."""
     if len(rows) < 2:
         return []
     rows = sorted(rows, key=lambda r: r[3])
@@ -311,6 +316,7 @@ def _near(rows: list[tuple]) -> list[tuple]:
     width = np.array([len(r[4]) // 8 for r in rows])
     until = np.searchsorted(4 * n, 5 * n, "right")  # rows of up to 5/4 times the size
     made, folded, at = [], np.zeros((0, 0), np.int64), 0
+    best, to = np.full(len(rows), np.inf), np.full(len(rows), -1)
     for i in range(len(rows) - 1):
         if until[i] <= i + 1:
             continue
@@ -319,10 +325,18 @@ def _near(rows: list[tuple]) -> list[tuple]:
             folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[4], np.int64).reshape(-1, width[i]), axis=0) for r in rows[at:last]])
         some = slice(i + 1, until[i])
         apart = np.bitwise_count((folded[i + 1 - at : until[i] - at] ^ folded[i - at]).view(U)).sum(axis=1, dtype=np.int64)
-        for j in i + 1 + np.flatnonzero((9 * apart <= n[i] + n[some]) & (group[some] != group[i])):
-            x, y = (i, j) if node[i] < node[j] else (j, i)
-            made.append((node[x], node[y], rep[x], rep[y], n[x], n[y]))
-    return made
+        fits = i + 1 + np.flatnonzero((9 * apart <= n[i] + n[some]) & (group[some] != group[i]))
+        if nearest and len(fits):
+            far = apart[fits - i - 1] / (n[fits] + n[i])
+            for x, partner, d in ((i, fits[far.argmin()], far.min()), *zip(fits, [i] * len(fits), far)):
+                if d < best[x]:
+                    best[x], to[x] = d, partner
+        elif not nearest:
+            made += [(i, int(j)) for j in fits]
+    if nearest:
+        made = sorted({(min(i, j), max(i, j)) for i, j in enumerate(to.tolist()) if j >= 0})
+    made = [(i, j) if node[i] < node[j] else (j, i) for i, j in made]
+    return [(node[x], node[y], rep[x], rep[y], n[x], n[y]) for x, y in made]
 
 
 def _sets(whole: bool):
@@ -473,15 +487,20 @@ def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
         links = found if links is None else links.union(found)
         groups = scratch.keep(components(spark, links, scratch), "groups")
         apart = _apart(met.where("many").select("key", "node").distinct(), groups)  # in the other keys, the one pair has been compared
-        apart = scratch.keep(apart.join(nodes, "node").withColumn("blocks", F.ceil(2 * F.col("size") / PAIRED)), "apart")
+        apart = scratch.keep(apart.join(nodes, "node"), "apart")
         large = apart.where(F.col("size") > PAIRED).select("key", "node", "rep", "size")
         met = None
         if turn <= ROUNDS and not large.isEmpty():
             met = scratch.keep(_split(read, large, turn * FAMILIES), "met")
             apart = apart.join(met.select(F.col("whole").alias("key")).distinct(), "key", "left_anti")
-        pairs = scratch.keep(_in_pairs(apart), "close")
-        if not pairs.isEmpty():
+        for nearest in (True, False):
+            pairs = scratch.keep(_in_pairs(apart, nearest), "close")
+            if pairs.isEmpty():
+                break
             links = links.union(check.verified(pairs))
+            if nearest:
+                groups = scratch.keep(components(spark, links, scratch), "groups")
+                apart = scratch.keep(_apart(apart.drop("group", "size"), groups), "apart")
         if met is None or met.isEmpty():
             break
     groups = components(spark, links, scratch)
@@ -495,24 +514,25 @@ def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (key, node, group, size) of the keys that hold several components; a lone node is its own. size: nodes of the key."""
+    """The rows, with group and size, of the keys that hold several components; a lone node is its own. size: nodes of the key."""
     placed = rows.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     several = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    return placed.join(several, "key").select("key", "node", "group", "size")
+    return placed.join(several, "key").select(*rows.columns, "group", "size")
 
 
-def _in_pairs(apart: DataFrame) -> DataFrame:
+def _in_pairs(apart: DataFrame, nearest: bool) -> DataFrame:
     """Distinct pairs (a, b, rep_a, rep_b, n_a, n_b) of nodes that a key holds apart and whose sketches allow a link.
 
     A key of more than ``PAIRED`` nodes goes by blocks: each row to the pairs of its block and any.
     """
     cols = ["key", "block", "node", "group", "rep", "n", "sketch"]
     few = apart.where(F.col("size") <= PAIRED).withColumn("block", F.lit(0).cast("long"))
-    own, other = F.expr("pmod(xxhash64(node), blocks)"), F.explode(F.expr("sequence(0L, blocks - 1)"))
+    blocks = f"bigint(ceil(2 * size / {PAIRED}))"
+    own, other = F.expr(f"pmod(xxhash64(node), {blocks})"), F.explode(F.expr(f"sequence(0L, {blocks} - 1)"))
     many = apart.where(F.col("size") > PAIRED).withColumn("own", own).withColumn("other", other)
     many = many.withColumn("block", F.xxhash64(F.least("own", "other"), F.greatest("own", "other")))
     rows = few.select(*cols).union(many.select(*cols))
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_paired, _types(PAIRS)).distinct()
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_paired(nearest), _types(PAIRS)).distinct()
 
 
 def _split(read: DataFrame, large: DataFrame, start: int) -> DataFrame:
