@@ -264,9 +264,9 @@ def line_documents(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-@pytest.mark.parametrize("broadcast", [line_templates.BROADCAST_TEMPLATES, 0])
+@pytest.mark.parametrize("broadcast", [line_templates.BROADCAST_BYTES, -1])
 def test_recurring_lines_go_and_copies_stay(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(line_templates, "BROADCAST_TEMPLATES", broadcast)
+    monkeypatch.setattr(line_templates, "BROADCAST_BYTES", broadcast)
     docs = line_documents(spark)
     found = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
     before = {r.doc_id: r.text for r in docs.collect()}
@@ -290,6 +290,44 @@ def test_lines_against_sql(spark):
     assert sorted(map(tuple, found)) == sorted(want)
 
 
+def test_lines_that_recur_together_go(spark):
+    rng = random.Random(12)
+    rows, dropped = [], {}
+    for k, own in ((1, 5), (6, 1), (20, 1), (20, 5)):
+        block = [prose(rng, 8) for _ in range(k)]
+        for i in range(40):
+            rows.append((len(rows), "\n".join([*block[: k // 2], *(prose(rng, 9) for _ in range(own)), *block[k // 2 :]])))
+            dropped[rows[-1][0]] = k if i else 0
+    found = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_dropped for r in found} == dropped
+
+
+def test_copies_keep_their_lines_and_protect_no_boilerplate(spark):
+    rng = random.Random(13)
+    rows = []
+    base = [prose(rng, 14) for _ in range(9)]
+    for i in range(150):  # copies, most with edited words, of a document that holds a line which others hold too
+        words = [line.split() for line in base]
+        for _ in range(i % 3):
+            line = rng.choice(words)
+            line[rng.randrange(len(line))] = "edit" + rng.choice("abcdefghijk") * rng.randint(1, 4)
+        rows.append((i, "\n".join([" ".join(w) for w in words] + ["Terms and conditions apply to all"])))
+    for i in range(8):
+        rows.append((200 + i, "\n".join([prose(rng, 9), "Terms and conditions apply to all", prose(rng, 9)])))
+        rows.append((300 + i, "\n".join([prose(rng, 9), f"{rng.choice('abcdefgh') * (i + 1)} has written this for the daily", "2024 11 05", prose(rng, 9)])))
+    rows += [(400 + i, "\n".join(["one line that four documents share", prose(rng, 9)])) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
+    before = dict(rows)
+    for i in range(150):
+        assert found[i].text.split("\n")[:9] == before[i].split("\n")[:9] and found[i].n_dropped == (i > 0)
+    for i in range(8):
+        assert found[200 + i].n_dropped == 1 and found[300 + i].n_dropped == (2 if i else 0)
+    assert all(found[400 + i].n_dropped == 0 for i in range(4))
+    again = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(docs, contexts=4).collect()}
+    assert [again[400 + i] for i in range(4)] == [0, 1, 1, 1]
+
+
 def test_lines_of_odd_rows(spark):
     docs = odd_documents(spark)
     cut = line_templates.drop_recurring_lines(docs)
