@@ -38,6 +38,42 @@ def test_held_out_accuracy_with_interactions(spark):
     assert model.factors.shape[1] == toxicity_fm.FACTORS
 
 
+def test_pairs_that_weights_alone_miss():
+    """Label: exactly one of two kinds of words. Each kind tells nothing by itself."""
+
+    def made(n, seed):
+        rng, texts, labels = random.Random(seed), [], []
+        noise = [prose(random.Random(i), 1) for i in range(2500)]
+        for _ in range(n):
+            words, a, b = [rng.choice(noise) for _ in range(40)], rng.random() < 0.5, rng.random() < 0.5
+            words += [rng.choice(["qwerty", "zuxval", "yopfem"])] * a + [rng.choice(["hexxam", "wixtor", "rovnel"])] * b
+            rng.shuffle(words)
+            texts.append(" ".join(words))
+            labels.append(int(a != b))
+        return texts, np.array(labels)
+
+    texts, labels = made(3000, 1)
+    model = toxicity_fm.fit([toxicity_fm.places_of(t) for t in texts], labels)
+    tests, truth = made(1000, 2)
+    assert np.mean([(model.score(t) >= 0.5) == v for t, v in zip(tests, truth)]) > 0.95
+    alone = toxicity_fm.Model(model.bias, model.places, model.weights, np.zeros_like(model.factors))
+    assert np.mean([(alone.score(t) >= 0.5) == v for t, v in zip(tests, truth)]) < 0.7
+    for t in tests[:50]:  # the score is that of the plain double sum
+        active = np.flatnonzero(np.isin(model.places, toxicity_fm.places_of(t)))
+        margin = model.bias + sum(model.weights[i] for i in active) + sum(model.factors[i] @ model.factors[j] for i in active for j in active if i < j)
+        assert abs(model.score(t) - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
+
+
+def test_whole_words_and_long_runs_count():
+    run = "".join(chr(0x4E00 + i) for i in range(40))
+    a, b = toxicity_fm.places_of(run + "甲乙丙"), toxicity_fm.places_of(run + "丁戊己")
+    assert len(np.intersect1d(a, b)) > 30 and len(np.setdiff1d(a, b)) >= 3 and len(np.setdiff1d(b, a)) >= 3
+    rng = random.Random(2)
+    bad = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(40)) + "坏人坏" * (i % 2) + "".join(chr(0x4E00 + rng.randrange(300)) for _ in range(20)) for i in range(600)]
+    model = toxicity_fm.fit([toxicity_fm.places_of(t) for t in bad], np.arange(600) % 2)
+    assert model.score(run + "坏人坏") > 0.8 > 0.2 > model.score(run + "天地玄")
+
+
 def test_odd_rows_and_no_labels(spark):
     docs = odd_documents(spark)
     none = toxicity_fm.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
