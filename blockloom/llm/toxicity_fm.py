@@ -8,7 +8,7 @@ scripts without spaces), hashed to 2**20 places. The machine has a weight and ``
   next to a group's name even where neither tells anything by itself;
 * with a factor: once fitted, every other place whose rows deviate beyond chance in step with a factor, or by themselves, joins.
 
-Nothing caps their number. How far beyond chance is chosen among ``LEVELS`` by the loss on a fifth of the sample. Fitting takes a bounded sample of labelled rows on the driver; scoring maps over all rows.
+Nothing caps their number. How far beyond chance is chosen among ``LEVELS`` and how far weights are drawn to zero among ``PENALTIES``, by the loss on a fifth of the sample. Fitting takes a bounded sample of labelled rows on the driver; scoring maps over all rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ FACTORS = 4
 MIN_ROWS, PAIR_SHARE = 4, 0.04
 #: Standard deviations above the largest that chance is expected to give among all tests; infinite leaves pairs and joins out.
 LEVELS = (1.0, 5.0, float("inf"))
+#: Penalties on the squares of weights, and that on those of factors.
+PENALTIES, FACTOR_PENALTY = (1e-4, 1e-3), 1e-3
 REJECT = 0.7
 #: Besides whole words, their first so many letters are terms: inflected and compound words share them.
 STEMS = (4, 5, 6)
@@ -170,10 +172,10 @@ def _margins(row: np.ndarray, col: np.ndarray, n: int, params: list[np.ndarray])
     return b[0] + np.bincount(row, w[col], n) + 0.5 * ((sums**2).sum(axis=1) - own), sums
 
 
-def _adam(row: np.ndarray, col: np.ndarray, y: np.ndarray, counts: np.ndarray, params: list[np.ndarray], steps: int) -> list[np.ndarray]:
+def _adam(row: np.ndarray, col: np.ndarray, y: np.ndarray, counts: np.ndarray, params: list[np.ndarray], steps: int, l2: float) -> list[np.ndarray]:
     """Bias, weights and factors, fitted on from ``params`` over the rows that count, under an L2 penalty."""
     k, share = len(params[1]), counts / counts.sum()
-    penalty = [0.0, 1e-4, 1e-3]
+    penalty = [0.0, l2, FACTOR_PENALTY]
     means, squares = ([np.zeros_like(p) for p in params] for _ in range(2))
     params = list(params)
     for i in range(1, steps + 1):
@@ -210,15 +212,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, l1: float = 2e-3, rounds:
         return active, [np.array([bias]), linear[active], factors]
 
     losses = {}
-    for level in LEVELS:
+    for level in reversed(LEVELS):
         active, params = begun(level)
         row, col = data.only(active)
-        margin, _ = _margins(row, col, n, _adam(row, col, y, learnt, params, steps // 2))
-        losses[level] = float((np.logaddexp(0, margin) - y * margin)[learnt == 0].sum())
-    level = min(reversed(LEVELS), key=losses.get)
+        for l2 in PENALTIES:
+            margin, _ = _margins(row, col, n, _adam(row, col, y, learnt, params, steps // 2, l2))
+            losses[level, l2] = float((np.logaddexp(0, margin) - y * margin)[learnt == 0].sum())
+    level, l2 = min(losses, key=losses.get)
     active, params = begun(level)
     row, col = data.only(active)
-    params = _adam(row, col, y, every, params, steps // 2)
+    params = _adam(row, col, y, every, params, steps // 2, l2)
 
     # What else deviates by itself or in step with a factor.
     margin, sums = _margins(row, col, n, params)
@@ -233,7 +236,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, l1: float = 2e-3, rounds:
     weights, factors = np.zeros(len(grown)), np.random.default_rng(seed).normal(0, 0.02, (len(grown), FACTORS))
     weights[np.searchsorted(grown, active)], factors[np.searchsorted(grown, active)] = params[1:]
     factors[np.searchsorted(grown, joins)] += 0.1 * np.sign(z[joins, :FACTORS]) * (np.abs(z[joins, :FACTORS]) > limit)
-    b, w, v = _adam(*data.only(grown), y, every, [params[0], weights, factors], steps - steps // 2)
+    b, w, v = _adam(*data.only(grown), y, every, [params[0], weights, factors], steps - steps // 2, l2)
     return Model(float(b[0]), data.kinds[grown].astype(np.int32), w, v)
 
 
