@@ -18,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, Scratch, fresh, table
+from .shared import ASCII_SPACE, Scratch, fresh, small, table
 
 DEPTH = 3
 ALIKE = 0.75
 CONTEXTS = 5
-#: Sides of up to so many bytes are broadcast; beyond, the joins shuffle.
-BROADCAST_BYTES = 32 << 20
 
 SPACE = r"[\x20\x09-\x0D]"
 VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -51,12 +49,6 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select("doc", "row", "line", "masked", F.unhex(F.md5(F.col("masked").cast("binary"))).alias("template"), *leaves)
 
 
-def _small(df: DataFrame, row_bytes: int = 48, more: Column | None = None) -> DataFrame:
-    """The side, to be broadcast if its rows, and ``more`` bytes of each, are few enough."""
-    size = df.agg(F.count("*") * row_bytes + F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def _number(template: Column) -> Column:
     """The first 60 bits of a template's hash."""
     return F.conv(F.substring(F.hex(template), 1, 15), 16, 10).cast("long")
@@ -69,7 +61,7 @@ def _groups(lines: DataFrame, counts: DataFrame, scratch: Scratch, contexts: int
     seed = seed.where((F.col("n") > 1) & (F.col("all") >= contexts)).select("leaf", "s.seed", "s.less")
     near = scratch.keep(each.join(seed, "leaf").where("template <> seed").select("template", "seed", "less").distinct(), "near")
     named = scratch.keep(near.select("template").union(near.select("seed")).distinct(), "named")
-    texts = lines.select("template", "masked").join(_small(named), "template", "left_semi").groupBy("template").agg(F.first("masked").alias("masked"))
+    texts = lines.select("template", "masked").join(small(named), "template", "left_semi").groupBy("template").agg(F.first("masked").alias("masked"))
     texts = scratch.keep(texts.select("template", F.split("masked", SPACE + "+").alias("words")), "words")
     same = F.size(F.filter(F.zip_with("words", "seed_words", lambda a, b: a == b), lambda x: x))
     alike = near.join(texts, "template").join(texts.select(F.col("template").alias("seed"), F.col("words").alias("seed_words")), "seed")
@@ -88,18 +80,18 @@ def recurring_lines(df: DataFrame, scratch: Scratch, *, key: str = "doc_id", tex
     group = scratch.keep(_groups(lines, counts, scratch, contexts), "group")
 
     # Templates of enough lines; what shares a leaf with one is no document's own.
-    placed = counts.join(_small(group), "template", "left").withColumn("root", F.coalesce("root", "template"))
+    placed = counts.join(small(group), "template", "left").withColumn("root", F.coalesce("root", "template"))
     often = scratch.keep(placed.groupBy("root").agg(F.sum("times").alias("total")).where(F.col("total") >= contexts), "often")
-    status = scratch.keep(placed.select("template", "root").join(_small(often), "root"), "status")
-    roots = counts.join(_small(often.select(F.col("root").alias("template"))), "template", "left_semi")
+    status = scratch.keep(placed.select("template", "root").join(small(often), "root"), "status")
+    roots = counts.join(small(often.select(F.col("root").alias("template"))), "template", "left_semi")
     taken = scratch.keep(roots.select(F.explode(F.array(*leaves)).alias("leaf")).distinct(), "taken")
     each = counts.where(F.col("times") < contexts).select("template", F.explode(F.array(*leaves)).alias("leaf"))
-    variant = each.join(_small(taken), "leaf", "left_semi").select("template").distinct()
+    variant = each.join(small(taken), "leaf", "left_semi").select("template").distinct()
     common = scratch.keep(variant.union(status.select("template")).distinct(), "common")
     scratch.drop(counts, group, often, taken)
 
-    own = lines.join(_small(common), "template", "left_anti").groupBy("doc", "row").agg(F.min(_number(F.col("template"))).alias("own"))
-    listed = scratch.keep(lines.join(_small(status, 64), "template").select("doc", "row", "line", "root", "total"), "listed")
+    own = lines.join(small(common), "template", "left_anti").groupBy("doc", "row").agg(F.min(_number(F.col("template"))).alias("own"))
+    listed = scratch.keep(lines.join(small(status, 64), "template").select("doc", "row", "line", "root", "total"), "listed")
     pack = F.least("total", F.lit(1 << 22)) * (1 << 40) + F.shiftright(_number(F.col("root")), 20)
     rare = listed.groupBy("doc", "row").agg(F.min(pack).alias("rare"))
     context = own.select("doc", "row", "own", F.lit(None).cast("long").alias("rare")).union(rare.select("doc", "row", F.lit(None).cast("long"), "rare"))
@@ -109,7 +101,7 @@ def recurring_lines(df: DataFrame, scratch: Scratch, *, key: str = "doc_id", tex
     by_context = stands.groupBy("root", "context").agg(F.min("doc").alias("first"))
     recurs = by_context.groupBy("root").agg(F.count("*").alias("contexts"), F.min("first").alias("first")).where(F.col("contexts") >= contexts)
     recurs = scratch.keep(recurs.select("root", "first"), "recurs")
-    return listed.join(_small(recurs), "root").where(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "row", "line")
+    return listed.join(small(recurs), "root").where(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "row", "line")
 
 
 def drop_recurring_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text", contexts: int = CONTEXTS) -> DataFrame:
@@ -127,7 +119,7 @@ def drop_recurring_lines(df: DataFrame, *, key: str = "doc_id", text: str = "tex
     doc, row, out = fresh(df, "doc"), fresh(df, "row"), fresh(df, "gone")
     gone = gone.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("gone").alias(out))
     fits = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) == F.col(row))
-    joined = df.join(_small(gone, 64, 8 * F.size(out)), fits, "left")
+    joined = df.join(small(gone, 64, 8 * F.size(out)), fits, "left")
     parts = F.split(F.col(f"`{text}`"), "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(out, i)), "\n")
     cut = F.when(F.col(out).isNull(), F.col(f"`{text}`")).otherwise(kept)

@@ -27,7 +27,7 @@ Sets are named by 63-bit hashes: among n sets, n^2 / 2^64 are expected to share
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -209,33 +209,37 @@ def _combined(keys: list[np.ndarray], nodes: list[int]) -> tuple[list[np.ndarray
     return list(zip(cut(flat, sends), cut(shared, sends))), cut(flat, shared), cut(name[lead] if len(flat) else lead, shared)
 
 
-@releasing
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(keys_of: Callable[[np.ndarray], np.ndarray]):
     """Names, sketches and keys of each text; copies in one partition give their keys once.
 
     ``keys`` are a text's own, ``leading`` those that others of its batch have too and leave to it to send;
     ``led`` and ``leaders`` are all that texts of one batch share, with their leaders. So a key that very
     many texts have is one row a batch in the shuffle.
     """
-    sent: set[int] = set()
-    for b in batches:
-        for at in range(0, len(b), 512):
-            size, node, sketches, keys = [], [], [], []
-            ids = b.column(0)[at : at + 512]
-            for known, text in zip(ids.is_valid().to_pylist(), b.column(1)[at : at + 512]):
-                m = shingles(text.as_py())
-                size.append(len(m))
-                node.append(node_of(m) if len(m) else None)
-                sketches.append(whole_sketch(m).tobytes())
-                if not known or node[-1] is None or node[-1] in sent:
-                    keys.append(np.zeros(0, np.int64))
-                    continue
-                sent.add(node[-1])
-                keys.append(np.unique(segment_keys(m)).view(np.int64))
-            sends, led, leaders = _combined(keys, [n or 0 for n in node])
-            own, leading = ([k[f == flag] for k, f in sends] for flag in (False, True))
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs).astype(np.int64))) for xs in (own, leading, led, leaders)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), *lists], schema=READ)
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for b in batches:
+            for at in range(0, len(b), 512):
+                size, node, sketches, keys = [], [], [], []
+                ids = b.column(0)[at : at + 512]
+                for known, text in zip(ids.is_valid().to_pylist(), b.column(1)[at : at + 512]):
+                    m = shingles(text.as_py())
+                    size.append(len(m))
+                    node.append(node_of(m) if len(m) else None)
+                    sketches.append(whole_sketch(m).tobytes())
+                    if not known or node[-1] is None or node[-1] in sent:
+                        keys.append(np.zeros(0, np.int64))
+                        continue
+                    sent.add(node[-1])
+                    keys.append(np.unique(keys_of(m)).view(np.int64))
+                sends, led, leaders = _combined(keys, [n or 0 for n in node])
+                own, leading = ([k[f == flag] for k, f in sends] for flag in (False, True))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs).astype(np.int64))) for xs in (own, leading, led, leaders)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), *lists], schema=READ)
+
+    return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,12 +468,12 @@ def similar_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     return _classes(df, key, text).select(F.col("doc_id").alias(key), "n_shingles", "component_id")
 
 
-def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows doc_id, n_shingles, node, component_id."""
+def _classes(df: DataFrame, key: str, text: str, keys_of: Callable[..., np.ndarray] = segment_keys, rounds: int | None = None) -> DataFrame:
+    """Rows doc_id, n_shingles, node, component_id. ``keys_of`` gives a set's keys; with ``rounds`` 0 large keys aren't keyed again but go by blocks."""
     spark = df.sparkSession
     scratch = Scratch(spark, "parity-join")
     read = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    named = scratch.keep(read.mapInArrow(_read, _types(READ)), "names")
+    named = scratch.keep(read.mapInArrow(_read(keys_of), _types(READ)), "names")
     whole = named.where("doc_id IS NOT NULL AND node IS NOT NULL")
     nodes = scratch.keep(whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     sent = whole.select(F.explode("keys").alias("key"), "node").union(whole.select(F.explode("leading").alias("key"), F.col("node").bitwiseOR(F.lit(1))))
@@ -481,7 +485,8 @@ def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
     check = _Verifier(read, nodes, scratch)
     links = groups = None
-    for turn in range(1, ROUNDS + 2):
+    rounds = ROUNDS if rounds is None else rounds
+    for turn in range(1, rounds + 2):
         # Each node with its key's leader; then, where components still meet in a key, with the others.
         found = check.links(met.where("node <> leader").select(*_ordered("node", "leader")).distinct())
         links = found if links is None else links.union(found)
@@ -490,7 +495,7 @@ def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
         apart = scratch.keep(apart.join(nodes, "node"), "apart")
         large = apart.where(F.col("size") > PAIRED).select("key", "node", "rep", "size")
         met = None
-        if turn <= ROUNDS and not large.isEmpty():
+        if turn <= rounds and not large.isEmpty():
             met = scratch.keep(_split(read, large, turn * FAMILIES), "met")
             apart = apart.join(met.select(F.col("whole").alias("key")).distinct(), "key", "left_anti")
         for nearest in (True, False):

@@ -1,19 +1,24 @@
 """Passages that repeat across documents, by MinHash banding of paragraphs.
 
-A passage may stand anywhere in a text, so paragraphs are cut by content: every word where a hash of
-two words is least among its neighbours opens a paragraph of ``LENGTH`` words. A passage of over
-50 words holds such places wherever it stands, and the same ones. Each paragraph's shingles have
-MinHash values in bands; all paragraphs that collide in a band with another document's are linked
-where their exact Jaccard likeness is 0.8 or more. Equal paragraphs are one class first; components are
-made of classes. In each component the least document keeps its paragraphs, and others lose theirs.
-
-Links don't need pairs. Two paragraphs of ``SHINGLES`` shingles have 25 or more in common only where a
+A text's paragraphs are of two kinds. Its lines of ``LENGTH`` words or more are paragraphs as they stand, with
+``LINE_BANDS`` bands of ``LINE_VALUES`` MinHash values each: two lines of likeness s meet in a band with probability
+1 - (1 - s ** LINE_VALUES) ** LINE_BANDS, 0.95 at 0.8. Those that meet are compared by their sets, whatever was edited
+inside (parity_join's exact comparing: with a leader, the nearest, and in pairs what is still apart).
+
+And a passage may stand anywhere in a text, so windows of ``LENGTH`` words are cut by content: of any ``GUARD`` places in a row, that
+where a hash of two words is least opens a window. A passage of LENGTH + GUARD words or more so holds one wherever it
+stands, and the same ones. Each window's shingles have MinHash values in bands; all windows that collide
+in a band with another document's are linked where their exact Jaccard likeness is 0.8 or more. Equal
+windows are one class first; components are made of classes. In each component the least document keeps its
+paragraphs, and others lose theirs.
+
+Links of windows don't need pairs. Two windows of ``SHINGLES`` shingles have 25 or more in common only where a
 run of ``RUN`` shingles stands in both, as any break inside costs each more than three; so equal hashes of
-runs are the links. A paragraph that repeats three words, or holds one word three times in a row, may
+runs are the links. A window that repeats three words, or holds one word three times in a row, may
 take another one's shingles in another order; those are compared as sets, where prefixes of sets, rarest
 shingles first, meet.
 
-With one value a band and ``BANDS`` bands, two paragraphs of likeness s meet in a band with
+With one value a band and ``BANDS`` bands, two windows of likeness s meet in a band with
 probability 1 - (1 - s) ** BANDS: 0.96 at 0.8, and 1 where they are equal; a passage has several.
 """
 
@@ -23,47 +28,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import parity_join
 from .parity_join import U, WORDS, _words, linked, mix
-from .shared import Scratch, components, fresh, releasing, table
+from .shared import Scratch, components, fresh, releasing, small, table
 
-#: Words in a paragraph, and on how many words at either side its place is the least.
-LENGTH, BESIDE = 32, 4
+#: Words in a window (and in a line that is a paragraph, at least), and places in a row of which one opens a window.
+LENGTH, GUARD = 32, 18
 SHINGLES = LENGTH - WORDS + 1
 BANDS = 2
+LINE_BANDS, LINE_VALUES = 3, 2
 #: Shingles that two paragraphs of likeness 0.8 have in common at least, and how many such runs a paragraph has.
 RUN = -(-80 * 2 * SHINGLES // 180)
 RUNS = SHINGLES - RUN + 1
 #: Rows of documents whose paragraphs are compared are broadcast up to this many (tens of bytes each).
 BROADCAST_ROWS = 200_000
+#: Words, and windows, that are hashed in one go.
+AT_ONCE = 1 << 16
 
 _SALTS = mix(np.arange(1, BANDS + SHINGLES + 1, dtype=U))
 _WEIGHTS = _SALTS[BANDS:] | U(1)
+_LINE_SALTS = mix(np.arange(1000, 1000 + LINE_BANDS * LINE_VALUES, dtype=U))
+
+
+def _chained(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k neighbours."""
+    s = np.full(len(h) - k + 1, k, U)
+    for i in range(k):
+        s = s * U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+    return mix(s)
 
 
 def ordered_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased, split at ASCII white space) and of the shingles in order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     h = np.fromiter(map(_words.__getitem__, words), U, len(words))
-    if len(h) < WORDS:
-        return h, h[:0]
-    s = np.full(len(h) - WORDS + 1, WORDS, U)
-    for i in range(WORDS):
-        s = s * U(0x9E3779B97F4A7C15) + h[i : len(h) - WORDS + 1 + i]
-    return h, mix(s)
+    return h, _chained(h, WORDS) if len(h) >= WORDS else h[:0]
+
 
+def _in_blocks(run, at: np.ndarray) -> np.ndarray:
+    """``run`` on the places, so many at once, joined."""
+    return np.concatenate([run(at[i : i + AT_ONCE]) for i in range(0, max(len(at), 1), AT_ONCE)])
 
-def places(h: np.ndarray) -> np.ndarray:
-    """First words of the text's paragraphs, by its words' hashes."""
+
+def places(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """First words of the windows of texts of so many words, by the words' hashes: in any ``GUARD`` places of a text, that of the least pair."""
     if len(h) < LENGTH:
         return np.zeros(0, np.int64)
     pair = mix(h[:-1] * U(3) + h[1:])
-    wide = np.concatenate([np.full(BESIDE, ~U(0)), pair, np.full(BESIDE, ~U(0))])
-    least = sliding_window_view(wide, 2 * BESIDE + 1).min(axis=1)
-    return np.flatnonzero((pair == least)[: len(h) - LENGTH + 1])
+    ends = np.cumsum(lengths)
+    end = np.repeat(ends, lengths)
+    sure = np.flatnonzero(np.arange(len(h)) + GUARD + LENGTH - 1 <= end)
+    chosen = [_in_blocks(lambda at: at + sliding_window_view(pair, GUARD)[at].argmin(axis=1), sure)] if len(sure) else []
+    for first, room in zip((ends - lengths).tolist(), (lengths - LENGTH + 1).tolist()):
+        if 0 < room < GUARD:
+            chosen.append(np.array([first + pair[first : first + room].argmin()]))
+    return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
 
 
 def _contents(blocks: np.ndarray) -> np.ndarray:
@@ -71,15 +95,56 @@ def _contents(blocks: np.ndarray) -> np.ndarray:
     return mix((blocks * _WEIGHTS).sum(axis=1, dtype=U))
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, content hashes and band keys (one row a band) of the text's paragraphs."""
-    h, s = ordered_shingles(text)
-    at = places(h)
-    if not len(at):
-        return at, np.zeros(0, U), np.zeros((BANDS, 0), U)
-    content = _contents(sliding_window_view(s, SHINGLES)[at])
-    least = np.stack([sliding_window_view(mix(s ^ salt), SHINGLES)[at].min(axis=1) for salt in _SALTS[:BANDS]])
-    return at, content, mix(least + _SALTS[:BANDS, None])
+def line_keys(least: np.ndarray) -> np.ndarray:
+    """Band keys (a row a band) of lines, from the least hashes of their shingles (a row for each of _LINE_SALTS)."""
+    out = np.zeros((LINE_BANDS, least.shape[1]), U)
+    for i, row in enumerate(least):
+        out[i // LINE_VALUES] = mix(out[i // LINE_VALUES] + row + _LINE_SALTS[i])
+    return out
+
+
+def line_bands(members: np.ndarray, start: int = 0) -> np.ndarray:
+    """Band keys of a line by its set of shingles."""
+    return line_keys(np.stack([mix(members ^ salt).min(keepdims=True) for salt in _LINE_SALTS]))[:, 0]
+
+
+def paragraphs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Of the texts' paragraphs in all bands: keys, numbers of the texts, contents, places.
+
+    A window's place is its first word; a line's has its number of words above the 32nd bit.
+    """
+    words: list[bytes] = []
+    lengths, lines = [], []
+    for text in texts:
+        before = len(words)
+        for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
+            found = line.split()
+            if len(found) >= LENGTH:
+                lines.append((len(words), len(found), len(lengths), len(words) - before))
+            words += found
+        lengths.append(len(words) - before)
+    if max(lengths, default=0) < LENGTH:
+        return (np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)))
+    h, sizes = np.fromiter(map(_words.__getitem__, words), U, len(words)), np.array(lengths)
+    s = _chained(h, WORDS)
+    at = places(h, sizes)
+    text = np.searchsorted(np.cumsum(sizes), at, "right")
+    content = _in_blocks(lambda x: _contents(sliding_window_view(s, SHINGLES)[x]), at)
+    own = at - (np.cumsum(sizes) - sizes)[text]
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for salt in _SALTS[:BANDS]:
+        hashed = mix(s ^ salt)
+        least = _in_blocks(lambda x: sliding_window_view(hashed, SHINGLES)[x].min(axis=1), at)
+        for to, x in zip(out, (mix(least + salt), text, content, own)):
+            to.append(x)
+    if lines:
+        first, count, of, place = np.array(lines).T
+        edges = np.column_stack([first, first + count - WORDS + 1]).ravel()
+        keys = line_keys(np.stack([np.minimum.reduceat(np.append(mix(s ^ salt), ~U(0)), edges)[::2] for salt in _LINE_SALTS]))
+        for band in keys:
+            for to, x in zip(out, (band, of, keys[0], place | (count << 32))):
+                to.append(x)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def plain(words: np.ndarray) -> np.ndarray:
@@ -104,6 +169,7 @@ READ = pa.schema([*ROWS, ("sent", pa.bool_())])
 FOUND = pa.schema([(n, pa.int64()) for n in ("content", "doc", "place")])
 KEYED = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("runs", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("members", pa.binary())])
 SETS = pa.schema([("node", pa.int64()), ("members", pa.binary())])
+LINES = pa.schema([("doc", pa.int64()), ("place", pa.int64()), ("text", pa.string())])
 
 
 @releasing
@@ -114,17 +180,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     that many of them share is the first document's alone; one without has been compared here.
     """
     for b in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-            at, content, bands = paragraphs(text.as_py())
-            if not len(at):
-                continue
-            for keys in bands:
-                for to, x in zip(out, (keys.view(np.int64), np.full(len(at), doc, np.int64), content.view(np.int64), at)):
-                    to.append(x)
-        if not out[0]:
+        docs, made = b.column(0).to_numpy(), []
+        for some in _chunks(b.column(1)):
+            keys, text, content, place = paragraphs([t.as_py() for t in some[1]])
+            made.append((keys.view(np.int64), docs[some[0] + text], content.view(np.int64), place))
+        cols = [np.concatenate(x) for x in zip(*made)] if made else [np.zeros(0)]
+        if not len(cols[0]):
             continue
-        cols = [np.concatenate(x) for x in out]
         order = np.lexsort(cols[::-1])
         cols = [c[order] for c in cols]
         made, at, abroad, _ = _collided(cols, 0, False)
@@ -133,6 +195,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(made[0]), pa.int64()), made[1], made[0], made[2], pa.array(np.zeros(len(made[0]), bool))], schema=READ)
 
 
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of the texts, of about as many words as are hashed in one go, with their first row."""
+    first, held = 0, 0
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        held += size or 0
+        if held >= 6 * AT_ONCE or i == len(texts) - 1:
+            yield first, texts[first : i + 1]
+            first, held = i + 1, 0
+
+
 def _collided(cols: list[np.ndarray], n_held: int, told: bool) -> tuple[list[pa.Array] | None, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by key and document, the first ``n_held`` of which were given before if ``told``: columns of FOUND for
     the rows of keys that several documents share; where each row's key begins; which rows are of another document than
@@ -217,6 +289,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(members, pa.binary())], schema=SETS)
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines at the wanted places of each text, as rows doc, place, text."""
+    for b in batches:
+        rows = []
+        for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            for place in wanted:
+                first, count = place & 0xFFFFFFFF, place >> 32
+                if first + count <= len(words):  # rows of one key may have other texts
+                    rows.append((doc, place, b" ".join(words[first : first + count]).decode("utf-8", "replace")))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(LINES)], schema=LINES)
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = pa.array([np.frombuffer(x.as_py(), np.int64) for x in b.column(2)], pa.list_(pa.int64()))
@@ -232,9 +317,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows doc, place, component, keep_doc: paragraphs that stand in several documents, kept ones too.
 
-    ``place`` is the first word, counted from 0; ``component`` a paragraph's name for its cluster;
-    ``keep_doc`` the least key there, whose paragraphs stay. Null texts, and texts of fewer words
-    than a paragraph, have none; rows with a null key are left out. Rows of one key are one
+    ``place`` is the first word, counted from 0, and a line's number of words above the 32nd bit (0: a window);
+    ``component`` a paragraph's name for its cluster; ``keep_doc`` the least key there, whose paragraphs stay. Null texts, and
+    texts of fewer words than a paragraph, have none; rows with a null key are left out. Rows of one key are one
     document. An empty table gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
@@ -247,18 +332,28 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
     across = rows.where("sent").select(*order).repartition("key").sortWithinPartitions(*order).mapInArrow(_collide, ", ".join(f"{n} bigint" for n in names))
     found = scratch.keep(across.union(rows.where("NOT sent").select(*names)), "found")
     scratch.drop(rows)
+    lines, found = found.where("place >= 1L << 32"), found.where("place < 1L << 32")
+    lines = scratch.keep(_like_lines(read, lines, scratch), "lines")
     groups = components(spark, _links(read, found, scratch), scratch)
 
     members = found.select("content", "doc", "place").distinct()
     placed = members.join(groups.withColumnRenamed("node", "content"), "content", "left").select("doc", "place", F.coalesce("component", "content").alias("component"))
-    placed = scratch.keep(placed, "placed")
+    placed = scratch.keep(placed.union(lines), "placed")
     several = placed.groupBy("component").agg(F.min("doc").alias("keep_doc"), F.max("doc").alias("last")).where("keep_doc < last").drop("last")
-    # Written before it is grouped by document: the join may then split a component of very many rows over tasks.
-    told = scratch.keep(placed.join(several, "component").select("doc", "place", "component", "keep_doc"), "told")
+    # Written before it is grouped by document; a component may have very many rows, so its key is broadcast or its join split.
+    told = scratch.keep(placed.join(small(scratch.keep(several, "several")), "component").select("doc", "place", "component", "keep_doc"), "told")
     scratch.only(told)
     return told
 
 
+def _like_lines(read: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows doc, place, component of the lines that met, by exact comparing of those that meet in a band."""
+    texts = _at(read, found.select("doc", "place").distinct(), scratch).mapInArrow(_lines, "doc bigint, place bigint, text string")
+    texts = scratch.keep(texts.distinct().withColumn("line", F.xxhash64("doc", "place")), "texts")
+    classes = parity_join._classes(texts, "line", "text", line_bands, 0).select(F.col("doc_id").alias("line"), F.col("component_id").alias("component"))
+    return texts.select("doc", "place", "line").join(classes.distinct(), "line").select("doc", "place", "component")
+
+
 def _at(read: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows doc, text, wanted: texts of the documents that ``places`` (doc, place) name, with their places."""
     wanted = scratch.keep(places.groupBy("doc").agg(F.collect_set("place").alias("wanted")), "wanted")
@@ -303,13 +398,13 @@ def _links(read: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
 def merged_spans(pieces: list[tuple[int, int, int]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """Spans (from, to, keep_doc, component) of words that paragraphs (place, keep_doc, component) cover together."""
     out: list[list[int]] = []
-    for place, keep, component in sorted(pieces):
+    for place, end, keep, component in sorted((p & 0xFFFFFFFF, (p & 0xFFFFFFFF) + (p >> 32 or length), k, c) for p, k, c in pieces):
         if out and place <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], place + length)
+            out[-1][1] = max(out[-1][1], end)
             out[-1][2] = min(out[-1][2], keep)
             out[-1][3] = min(out[-1][3], component)
         else:
-            out.append([place, place + length, keep, component])
+            out.append([place, end, keep, component])
     return [tuple(x) for x in out]
 
 
@@ -345,7 +440,7 @@ def cut_passages(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     spans = passage_spans(repeated_paragraphs(df, key=key, text=text)).where("size(removed) > 0")
     doc, gone = fresh(df, "doc"), fresh(df, "gone")
     spans = scratch.keep(spans.select(F.col("doc_id").alias(doc), F.col("removed").alias(gone)), "spans")
-    side = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
+    side = small(spans, 64, 48 * F.size(gone))
     chunks = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
     inside = lambda i: F.exists(gone, lambda s: (i >= s["first_word"]) & (i < s["end_word"]))
     cut = F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(chunks, lambda x, i: ~inside(i)), ""))

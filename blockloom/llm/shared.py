@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters deleted or split on where a contract says `[\x20\x09-\x0D]`.
@@ -68,6 +68,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
+#: Sides of up to so many bytes are broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int = 48, more: Column | None = None, most: int | None = None) -> DataFrame:
+    """The side, to be broadcast if its rows, and ``more`` bytes of each, are few enough."""
+    size = df.agg(F.count("*") * row_bytes + F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 

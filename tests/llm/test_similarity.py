@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.llm import line_templates, parity_join, passage_dedup, spotsigs
+from blockloom.llm import line_templates, parity_join, passage_dedup, shared, spotsigs
 from blockloom.llm.shared import Scratch, components
 
 from .data import empty_documents, odd_documents, prose
@@ -264,9 +264,9 @@ def line_documents(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-@pytest.mark.parametrize("broadcast", [line_templates.BROADCAST_BYTES, -1])
+@pytest.mark.parametrize("broadcast", [shared.BROADCAST_BYTES, -1])
 def test_recurring_lines_go_and_copies_stay(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(line_templates, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", broadcast)
     docs = line_documents(spark)
     found = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
     before = {r.doc_id: r.text for r in docs.collect()}
@@ -415,12 +415,11 @@ def test_all_paragraphs_of_a_key_are_compared(spark):
         rows.append((rng.randint(0, 9) * 1000 + i, " ".join(words)))
     met, sets = defaultdict(set), {}
     for doc, text in rows:
-        at, content, *_, bands = passage_dedup.paragraphs(text)
         _, s = passage_dedup.ordered_shingles(text)
-        for i, p in enumerate(at.tolist()):
-            sets[int(content[i])] = frozenset(s[p : p + passage_dedup.SHINGLES].tolist())
-            for band in bands:
-                met[int(band[i])].add((doc, p, int(content[i])))
+        for key, _, content, p in zip(*(x.tolist() for x in passage_dedup.paragraphs([text]))):
+            if p < 1 << 32:
+                sets[content] = frozenset(s[p : p + passage_dedup.SHINGLES].tolist())
+                met[key].add((doc, p, content))
     found = {r for rs in met.values() if len({d for d, _, _ in rs}) > 1 for r in rs}
     nodes = sorted({c for _, _, c in found})
     pairs = [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if jaccard(sets[a], sets[b]) >= 0.8]
@@ -431,10 +430,52 @@ def test_all_paragraphs_of_a_key_are_compared(spark):
     want = {frozenset(g) for g in groups.values() if len({d for d, _ in g}) > 1}
     got = defaultdict(set)
     for r in passage_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
-        got[r.component].add((r.doc, r.place))
+        if r.place < 1 << 32:
+            got[r.component].add((r.doc, r.place))
     assert {frozenset(g) for g in got.values()} == want
 
 
+def test_each_long_run_opens_a_window():
+    rng = random.Random(31)
+    for _ in range(200):
+        run = prose(rng, passage_dedup.LENGTH + passage_dedup.GUARD).split()
+        opened = []
+        for _ in range(2):
+            before = prose(rng, rng.randint(0, 60)).split()
+            text = " ".join([*before, *run, *prose(rng, rng.randint(0, 60)).split()])
+            _, _, content, place = passage_dedup.paragraphs([text])
+            opened.append({c for c, p in zip(content.tolist(), place.tolist()) if 0 <= p - len(before) <= len(run) - passage_dedup.LENGTH})
+        assert opened[0] & opened[1]
+    together = [prose(rng, n) + "\n" + prose(rng, 40) for n in (0, 3, 40, 31, 200)] + [None, ""]
+    apart = [(i, *row) for i, t in enumerate(together) for row in zip(*(x.tolist() for j, x in enumerate(passage_dedup.paragraphs([t])) if j != 1))]
+    keys, of, content, place = passage_dedup.paragraphs(together)
+    assert sorted(apart) == sorted(zip(of.tolist(), keys.tolist(), content.tolist(), place.tolist()))
+
+
+def test_edited_lines_are_linked_like_all_pairs(spark):
+    """Recall of links between lines of different documents, against all pairs; no component joins what all pairs keep apart."""
+    rng = random.Random(32)
+    bases, rows = [prose(rng, rng.randint(40, 90)).split() for _ in range(40)], []
+    for i in range(200):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["new"], [words[at], "more"]])
+        rows.append((i, "\n".join([prose(rng, 9), " ".join(words), prose(rng, 50)])))
+    lines = {i: word_sets([type("Row", (), {"doc_id": i, "text": t.split("\n")[1]})])[0][1] for i, t in rows}
+    want = {(a, b) for a in lines for b in range(a) if jaccard(lines[a], lines[b]) >= 0.8}
+    group = union([*want, *((i, i) for i in lines)])
+    of = {}
+    for r in passage_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        if r.place >> 32 and 0 < r.place & 0xFFFFFFFF < 12:
+            of[r.doc] = r.component
+    assert sum(of.get(a) == of.get(b) is not None for a, b in want) >= 0.95 * len(want) > 90
+    apart = defaultdict(set)
+    for doc, component in of.items():
+        apart[component].add(group[doc])
+    assert all(len(g) == 1 for g in apart.values())
+
+
 def test_plain_paragraphs_are_linked_by_runs():
     rng = random.Random(22)
     near = 0
