@@ -95,6 +95,11 @@ def _contents(blocks: np.ndarray) -> np.ndarray:
     return mix((blocks * _WEIGHTS).sum(axis=1, dtype=U))
 
 
+def _line_contents(words: np.ndarray, own: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A hash of each line, by its words' hashes, their numbers in it and the lines' beginnings."""
+    return mix(np.add.reduceat(mix(words + mix(own.astype(U))), begins))
+
+
 def line_keys(least: np.ndarray) -> np.ndarray:
     """Band keys (a row a band) of lines, from the least hashes of their shingles (a row for each of _LINE_SALTS)."""
     out = np.zeros((LINE_BANDS, least.shape[1]), U)
@@ -141,8 +146,11 @@ def paragraphs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         first, count, of, place = np.array(lines).T
         edges = np.column_stack([first, first + count - WORDS + 1]).ravel()
         keys = line_keys(np.stack([np.minimum.reduceat(np.append(mix(s ^ salt), ~U(0)), edges)[::2] for salt in _LINE_SALTS]))
+        begins = np.cumsum(count) - count
+        own = np.arange(count.sum()) - np.repeat(begins, count)
+        whole = _line_contents(h[np.repeat(first, count) + own], own, begins)
         for band in keys:
-            for to, x in zip(out, (band, of, keys[0], place | (count << 32))):
+            for to, x in zip(out, (band, of, whole, place | (count << 32))):
                 to.append(x)
     return tuple(np.concatenate(x) for x in out)
 
@@ -165,11 +173,11 @@ def prefix(members: np.ndarray) -> np.ndarray:
 
 
 ROWS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("place", pa.int64())])
-READ = pa.schema([*ROWS, ("sent", pa.bool_())])
-FOUND = pa.schema([(n, pa.int64()) for n in ("content", "doc", "place")])
+READ = pa.schema([*ROWS, ("sent", pa.bool_()), ("mixed", pa.bool_())])
+FOUND = pa.schema([*((n, pa.int64()) for n in ("content", "doc", "place")), ("mixed", pa.bool_())])
 KEYED = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("runs", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("members", pa.binary())])
 SETS = pa.schema([("node", pa.int64()), ("members", pa.binary())])
-LINES = pa.schema([("doc", pa.int64()), ("place", pa.int64()), ("text", pa.string())])
+LINES = pa.schema([("content", pa.int64()), ("text", pa.string())])
 
 
 @releasing
@@ -189,10 +197,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         order = np.lexsort(cols[::-1])
         cols = [c[order] for c in cols]
-        made, at, abroad, _ = _collided(cols, 0, False)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[~abroad]) for c in cols), pa.array(np.ones(int((~abroad).sum()), bool))], schema=READ)
+        made, at, abroad, _ = _collided(cols, 0, False, False)
+        sent = np.ones(int((~abroad).sum()), bool)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[~abroad]) for c in cols), pa.array(sent), pa.nulls(len(sent), pa.bool_())], schema=READ)
         if made is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(made[0]), pa.int64()), made[1], made[0], made[2], pa.array(np.zeros(len(made[0]), bool))], schema=READ)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(made[0]), pa.int64()), made[1], made[0], made[2], pa.array(np.zeros(len(made[0]), bool)), made[3]], schema=READ)
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -205,9 +214,9 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
             first, held = i + 1, 0
 
 
-def _collided(cols: list[np.ndarray], n_held: int, told: bool) -> tuple[list[pa.Array] | None, np.ndarray, np.ndarray, np.ndarray]:
+def _collided(cols: list[np.ndarray], n_held: int, told: bool, held_on: bool = True) -> tuple[list[pa.Array] | None, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by key and document, the first ``n_held`` of which were given before if ``told``: columns of FOUND for
-    the rows of keys that several documents share; where each row's key begins; which rows are of another document than
+    the rows of keys that several documents share (``mixed``: a key may have several contents); where each row's key begins; which rows are of another document than
     their key's first; which keys (at their first row) several documents share.
     """
     key, doc, content, place = cols
@@ -222,7 +231,11 @@ def _collided(cols: list[np.ndarray], n_held: int, told: bool) -> tuple[list[pa.
         shown[:n_held] = False
     if not shown.any():
         return None, at, abroad, shared
-    return [pa.array(x[shown]) for x in (content, doc, place)], at, abroad, shared
+    mixed = np.zeros(size, bool)
+    mixed[at[content != content[at]]] = True
+    if n_held or held_on:
+        mixed[[0, at[-1]]] = True  # the key may have more rows than are seen here
+    return [pa.array(x[shown]) for x in (content, doc, place, mixed[at])], at, abroad, shared
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,15 +303,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines at the wanted places of each text, as rows doc, place, text."""
+    """The lines at the wanted places of each text, as rows content, text."""
     for b in batches:
         rows = []
-        for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+        for text, wanted in zip(b.column(1), b.column(2).to_pylist()):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
             for place in wanted:
-                first, count = place & 0xFFFFFFFF, place >> 32
-                if first + count <= len(words):  # rows of one key may have other texts
-                    rows.append((doc, place, b" ".join(words[first : first + count]).decode("utf-8", "replace")))
+                line = words[place & 0xFFFFFFFF : (place & 0xFFFFFFFF) + (place >> 32)]
+                if len(line) == place >> 32:  # rows of one key may have other texts
+                    h = np.fromiter(map(_words.__getitem__, (w.lower() for w in line)), U, len(line))
+                    rows.append((int(_line_contents(h, np.arange(len(h)), np.zeros(1, np.int64)).view(np.int64)[0]), b" ".join(line).decode("utf-8", "replace")))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(LINES)], schema=LINES)
 
 
@@ -325,11 +339,11 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
     spark = df.sparkSession
     scratch = Scratch(spark, "passages")
     read = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL")
-    names = ["content", "doc", "place"]
-    rows = read.mapInArrow(_rows, "key bigint, doc bigint, content bigint, place bigint, sent boolean")
+    names = ["content", "doc", "place", "mixed"]
+    rows = read.mapInArrow(_rows, "key bigint, doc bigint, content bigint, place bigint, sent boolean, mixed boolean")
     rows = scratch.keep(rows, "rows")
     order = ["key", "doc", "content", "place"]
-    across = rows.where("sent").select(*order).repartition("key").sortWithinPartitions(*order).mapInArrow(_collide, ", ".join(f"{n} bigint" for n in names))
+    across = rows.where("sent").select(*order).repartition("key").sortWithinPartitions(*order).mapInArrow(_collide, "content bigint, doc bigint, place bigint, mixed boolean")
     found = scratch.keep(across.union(rows.where("NOT sent").select(*names)), "found")
     scratch.drop(rows)
     lines, found = found.where("place >= 1L << 32"), found.where("place < 1L << 32")
@@ -347,11 +361,16 @@ def repeated_paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text
 
 
 def _like_lines(read: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows doc, place, component of the lines that met, by exact comparing of those that meet in a band."""
-    texts = _at(read, found.select("doc", "place").distinct(), scratch).mapInArrow(_lines, "doc bigint, place bigint, text string")
-    texts = scratch.keep(texts.distinct().withColumn("line", F.xxhash64("doc", "place")), "texts")
-    classes = parity_join._classes(texts, "line", "text", line_bands, 0).select(F.col("doc_id").alias("line"), F.col("component_id").alias("component"))
-    return texts.select("doc", "place", "line").join(classes.distinct(), "line").select("doc", "place", "component")
+    """Rows doc, place, component of the lines that met: equal ones are one, others that met are compared exactly."""
+    texts = _at(read, _ends(found.where("mixed")), scratch).mapInArrow(_lines, "content bigint, text string")
+    texts = scratch.keep(texts.dropDuplicates(["content"]), "texts")
+    classes = parity_join._classes(texts, "content", "text", line_bands, 0).select(F.col("doc_id").alias("content"), F.col("component_id").alias("component"))
+    return found.select("content", "doc", "place").distinct().join(classes, "content", "left").select("doc", "place", F.coalesce("component", "content").alias("component"))
+
+
+def _ends(found: DataFrame) -> DataFrame:
+    """One place (doc, place) of each content."""
+    return found.groupBy("content").agg(F.min(F.struct("doc", "place")).alias("at")).select("at.doc", "at.place")
 
 
 def _at(read: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
@@ -362,9 +381,8 @@ def _at(read: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _links(read: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that connect all contents of ``found`` of likeness 0.8 or more."""
-    ends = found.groupBy("content").agg(F.min(F.struct("doc", "place")).alias("at")).select("at.doc", "at.place")
-    keyed = _at(read, ends, scratch).mapInArrow(_keyed, "node bigint, doc bigint, place bigint, runs array<bigint>, prefix array<bigint>, members binary")
+    """Links (a, b) that connect all contents of likeness 0.8 or more among those that met another one."""
+    keyed = _at(read, _ends(found.where("mixed")), scratch).mapInArrow(_keyed, "node bigint, doc bigint, place bigint, runs array<bigint>, prefix array<bigint>, members binary")
     keyed = scratch.keep(keyed.dropDuplicates(["node"]), "keyed")
     run = keyed.select(F.explode("runs").alias("run"), F.col("node").alias("a"))
     low = run.groupBy("run").agg(F.min("a").alias("b"), F.max("a").alias("high")).where("b < high").select("run", "b")
