@@ -444,7 +444,7 @@ def test_all_paragraphs_of_a_key_are_compared(spark):
 def test_each_long_run_opens_a_window():
     rng = random.Random(31)
     for _ in range(200):
-        run = prose(rng, passage_dedup.LENGTH + passage_dedup.GUARD).split()
+        run = prose(rng, 51).split()
         opened = []
         for _ in range(2):
             before = prose(rng, rng.randint(0, 60)).split()
@@ -458,6 +458,25 @@ def test_each_long_run_opens_a_window():
     assert sorted(apart) == sorted(zip(of.tolist(), keys.tolist(), content.tolist(), place.tolist()))
 
 
+def test_recall_of_windows_against_all_pairs():
+    """Windows of one run of words that are alike but not equal: how many pairs meet in a band."""
+    rng, met, tried = random.Random(33), 0, 0
+    for _ in range(150):
+        run = prose(rng, passage_dedup.LENGTH - rng.randint(0, 3)).split()
+        seen = []
+        for _ in range(6):
+            text = " ".join([*prose(rng, rng.randint(0, 3)).split(), *run, *prose(rng, 3).split()][: passage_dedup.LENGTH])
+            keys, *_ = passage_dedup.paragraphs([text])
+            _, s = passage_dedup.ordered_shingles(text)
+            if len(s) == passage_dedup.SHINGLES:
+                seen.append((set(keys[: passage_dedup.BANDS].tolist()), set(s.tolist())))
+        for i, (a, x) in enumerate(seen):
+            for b, y in seen[:i]:
+                if x != y and jaccard(x, y) >= 0.8:
+                    tried, met = tried + 1, met + bool(a & b)
+    assert tried > 300 and met >= 0.9 * tried
+
+
 def test_edited_lines_are_linked_like_all_pairs(spark):
     """Recall of links between lines of different documents, against all pairs; no component joins what all pairs keep apart."""
     rng = random.Random(32)
