@@ -427,17 +427,18 @@ def _links(read: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(links, "links")
 
 
-def merged_spans(pieces: list[tuple[int, int, int]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+def merged_spans(pieces: list[tuple[int, int, int]] | np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """Spans (from, to, keep_doc, component) of words that paragraphs (place, keep_doc, component) cover together."""
-    out: list[list[int]] = []
-    for place, end, keep, component in sorted((p & 0xFFFFFFFF, (p & 0xFFFFFFFF) + (p >> 32 or length), k, c) for p, k, c in pieces):
-        if out and place <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-            out[-1][2] = min(out[-1][2], keep)
-            out[-1][3] = min(out[-1][3], component)
-        else:
-            out.append([place, end, keep, component])
-    return [tuple(x) for x in out]
+    if not len(pieces):
+        return []
+    place, keep, component = np.array(pieces, np.int64).T
+    first = place & 0xFFFFFFFF
+    end = first + np.where(place >> 32 > 0, place >> 32, length)
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(end[order])
+    begins = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
+    ends = end[np.append(begins[1:], len(end)) - 1]
+    return list(zip(first[begins].tolist(), ends.tolist(), np.minimum.reduceat(keep[order], begins).tolist(), np.minimum.reduceat(component[order], begins).tolist()))
 
 
 SPAN = "struct<first_word:bigint,end_word:bigint,keep_doc:bigint,component:bigint>"
@@ -455,10 +456,16 @@ def passage_spans(found: DataFrame) -> DataFrame:
     types = pa.schema([("doc_id", pa.int64()), ("removed", spans), ("kept", spans)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("first_word", "end_word", "keep_doc", "component")
         for b in batches:
-            made = [[[dict(zip(names, s)) for s in merged_spans([(p["place"], p["keep_doc"], p["component"]) for p in row])] for row in b.column(i).to_pylist()] for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m, spans) for m in made)], schema=types)
+            made = []
+            for column in (b.column(1), b.column(2)):
+                pieces = np.column_stack([column.values.field(i).to_numpy() for i in range(3)])
+                cuts = column.offsets.to_numpy()
+                merged = [merged_spans(pieces[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+                fields = [pa.array(x, pa.int64()) for x in zip(*(m for ms in merged for m in ms))] or [pa.array([], pa.int64())] * 4
+                structs = pa.StructArray.from_arrays(fields, fields=list(spans.value_type))
+                made.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, merged)]), pa.int32()), structs, type=spans))
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], schema=types)
 
     return by_doc.mapInArrow(run, f"doc_id bigint, removed array<{SPAN}>, kept array<{SPAN}>")
 
