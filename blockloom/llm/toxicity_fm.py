@@ -31,6 +31,8 @@ TRAIN_ROWS = 6_000
 FACTORS = 4
 #: Labelled rows that a place is fitted from, at least; and share of the rows that both places of a pair are screened from.
 MIN_ROWS, PAIR_SHARE = 4, 0.04
+#: Pairs of row and column that are summed at a time, so that fitting needs little memory.
+PART = 1 << 19
 #: Standard deviations above the largest that chance is expected to give among all tests; infinite leaves pairs and joins out.
 LEVELS = (1.0, 5.0, float("inf"))
 #: Penalties on the squares of weights, and that on those of factors.
@@ -85,13 +87,25 @@ class _Rows:
     """Rows of places as sparse pairs (row, col), columns numbered."""
 
     def __init__(self, rows: list[np.ndarray]):
-        lengths = np.array([len(r) for r in rows])
         self.n = len(rows)
-        row = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
-        kinds, col, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        often = df >= MIN_ROWS
-        self.kinds, self.df = kinds[often], df[often]
-        self.row, self.col = row[often[col]], (np.cumsum(often) - 1)[col[often[col]]].astype(np.int32)
+        df = np.zeros(PLACES, np.int32)
+        for r in rows:
+            df[r] += 1
+        self.kinds = np.flatnonzero(df >= MIN_ROWS)
+        self.df = df[self.kinds]
+        where = np.full(PLACES, -1, np.int32)
+        where[self.kinds] = np.arange(len(self.kinds), dtype=np.int32)
+        cols = [c[c >= 0] for c in (where[r] for r in rows)]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(c) for c in cols])
+        self.col = np.concatenate(cols)
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each row of its columns' values, a part at a time."""
+        return sum(np.bincount(self.row[i : i + PART], values[self.col[i : i + PART]], self.n) for i in range(0, len(self.col), PART)) + np.zeros(self.n)
+
+    def by_col(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each column of its rows' values, a part at a time."""
+        return sum(np.bincount(self.col[i : i + PART], values[self.row[i : i + PART]], len(self.kinds)) for i in range(0, len(self.col), PART)) + np.zeros(len(self.kinds))
 
     def only(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, col) of the columns ``kept``, numbered anew."""
@@ -107,10 +121,10 @@ def _sparse_linear(data: _Rows, y: np.ndarray, l1: float, rounds: int) -> tuple[
     scale = np.minimum(1 / np.sqrt(data.df / n), 12.0)  # so that rare words are as easily moved as common ones, to a bound
     w = z = np.zeros(k)
     bias = bias_z = float(np.log(rate / (1 - rate)))
-    step, t, x = 0.2, 1.0, scale[data.col]
+    step, t = 0.2, 1.0
     for _ in range(rounds):
-        g = (_sigmoid(bias_z + np.bincount(data.row, x * z[data.col], n)) - y) / n
-        new = z - step * np.bincount(data.col, x * g[data.row], k)
+        g = (_sigmoid(bias_z + data.by_row(scale * z)) - y) / n
+        new = z - step * scale * data.by_col(g)
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_bias = bias_z - step * g.sum()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -201,7 +215,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, l1: float = 2e-3, rounds:
     data, y, every = _Rows(rows), labels.astype(float), np.ones(n)
     learnt = (np.arange(n) % 5 < 4).astype(float)
     bias, linear = _sparse_linear(data, y, l1, rounds)
-    rest = y - _sigmoid(bias + np.bincount(data.row, linear[data.col], n))
+    rest = y - _sigmoid(bias + data.by_row(linear))
     pairs, strength = _pairs(data, rest * learnt)
 
     def begun(level: float) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -230,7 +244,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, l1: float = 2e-3, rounds:
     z = np.zeros((k, FACTORS + 1))
     for f in range(FACTORS + 1):
         by = rest if f == FACTORS else rest * (sums[:, f] - sums[:, f].mean())
-        z[:, f] = np.bincount(data.col, by[data.row], k) / np.sqrt(np.bincount(data.col, (by**2)[data.row], k) + 1e-9)
+        z[:, f] = data.by_col(by) / np.sqrt(data.by_col(by**2) + 1e-9)
     joins = np.setdiff1d(np.flatnonzero(np.abs(z).max(axis=1) > limit), active)
     grown = np.union1d(active, joins)
     weights, factors = np.zeros(len(grown)), np.random.default_rng(seed).normal(0, 0.02, (len(grown), FACTORS))
