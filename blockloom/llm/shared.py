@@ -29,6 +29,15 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function on Arrow batches that gives freed memory back to the system at a partition's end: workers stay and wait for more."""
 
@@ -37,11 +46,7 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import releasing, small_batches, table
+from .shared import give_back, releasing, small_batches, table
 
 PLACES = 1 << 20
 #: Labelled rows that are fitted: those of least hash of the identifier. A row is about 2 KB on the driver.
@@ -141,7 +141,7 @@ def _chance(tests: int) -> float:
 def _pairs(data: _Rows, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of columns (two to a row) whose joint rows deviate from the fit, whose residuals are ``rest``; by how much beyond chance, strongest first."""
     kept = np.flatnonzero(data.df >= max(2 * MIN_ROWS, PAIR_SHARE * data.n))
-    k, edge = len(kept), 1024
+    k, edge = len(kept), 256
     row, col = data.only(kept)
     x = np.zeros((data.n, k), np.uint8)
     x[row, col] = 1
@@ -278,7 +278,10 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     found = texts.join(F.broadcast(chosen), "key").select(F.col("key").cast("long").alias("key"), "label", "text")
     got = found.mapInArrow(features, "key bigint, label int, places binary").collect()
     got.sort(key=lambda r: (r["key"], r["places"]))
-    return fit([np.frombuffer(r["places"], np.int32) for r in got], np.array([r["label"] for r in got]))
+    model = fit([np.frombuffer(r["places"], np.int32) for r in got], np.array([r["label"] for r in got]))
+    del got
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
