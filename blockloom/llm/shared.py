@@ -69,8 +69,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder that driver and executors share. Where none is set, one of our own in a session of one process, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or _own_folder()).rstrip("/")
 
 
 #: Sides of up to so many bytes are broadcast; beyond, joins shuffle.
