@@ -30,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import parity_join
-from .parity_join import U, WORDS, _words, linked, mix
+from .parity_join import U, WORDS, linked, mix
 from .shared import Scratch, components, fresh, releasing, small, table
 
 #: Words in a window (and in a line that is a paragraph, at least), and places in a row of which one opens a window.
@@ -57,6 +58,14 @@ _SALTS = mix(np.arange(1, BANDS + SHINGLES + 1, dtype=U))
 _WEIGHTS = _SALTS[BANDS:] | U(1)
 _LINE_SALTS = mix(np.arange(1000, 1000 + LINE_BANDS * LINE_VALUES, dtype=U))
 
+#: Bytes whose words are hashed in one go; longer words than this have a hash of their own kind.
+BYTES_AT_ONCE, LONG_WORD = 1 << 18, 512
+_BASE = 0xD6E8FEB86659FD93
+_POWERS = np.multiply.accumulate(np.full(BYTES_AT_ONCE, _BASE, U))
+_INVERSES = np.multiply.accumulate(np.full(BYTES_AT_ONCE, pow(_BASE, -1, 1 << 64), U))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_VALUES = mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(U) + U(5000))
+
 
 def _chained(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k neighbours."""
@@ -66,10 +75,34 @@ def _chained(h: np.ndarray, k: int) -> np.ndarray:
     return mix(s)
 
 
+def _bytes(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of UTF-8 bytes (A-Z lower-cased, split at ASCII white space), and the words' first bytes.
+
+    A word's hash is a polynomial over 64 bits of its bytes' random values, from prefix sums: no Python object a word.
+    """
+    space = np.concatenate([[True], _SPACE[data], [True]])
+    first, end = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(space[2:] & ~space[1:-1]) + 1
+    out, i = np.zeros(len(first), U), 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(end, first[i] + BYTES_AT_ONCE, "right")))
+        if end[j - 1] - first[i] <= BYTES_AT_ONCE:
+            n = int(end[j - 1] - first[i])
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(_VALUES[data[first[i] : end[j - 1]]] * _POWERS[:n])])
+            x, y = first[i:j] - first[i], end[i:j] - first[i]
+            out[i:j] = mix((sums[y] - sums[x]) * _INVERSES[x])
+        i = j
+    for i in np.flatnonzero(end - first > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[first[i] : end[i]].tobytes().lower())
+    return out, first
+
+
 def ordered_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased, split at ASCII white space) and of the shingles in order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = np.fromiter(map(_words.__getitem__, words), U, len(words))
+    h, _ = word_hashes(np.frombuffer(_bytes(text), np.uint8))
     return h, _chained(h, WORDS) if len(h) >= WORDS else h[:0]
 
 
@@ -123,37 +156,35 @@ def line_bands(members: np.ndarray, start: int = 0) -> np.ndarray:
     return line_keys(np.stack([mix(members ^ salt).min(keepdims=True) for salt in _LINE_SALTS]))[:, 0]
 
 
-def paragraphs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+def paragraphs(texts: list[str | bytes | None]) -> tuple[np.ndarray, ...]:
     """Of the texts' paragraphs in all bands: keys, numbers of the texts, contents, places.
 
     A window's place is its first word; a line's has its number of words above the 32nd bit.
     """
-    words: list[bytes] = []
-    lengths, lines = [], []
-    for text in texts:
-        before = len(words)
-        for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
-            found = line.split()
-            if len(found) >= LENGTH:
-                lines.append((len(words), len(found), len(lengths), len(words) - before))
-            words += found
-        lengths.append(len(words) - before)
-    if max(lengths, default=0) < LENGTH:
+    held = [_bytes(t) for t in texts]
+    data = np.frombuffer(b"\n".join(held), np.uint8)
+    h, begins = word_hashes(data)
+    sizes = np.diff(np.searchsorted(begins, np.cumsum([len(t) + 1 for t in held])), prepend=0)
+    if not len(h) or sizes.max() < LENGTH:
         return (np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)))
-    h, sizes = np.fromiter(map(_words.__getitem__, words), U, len(words)), np.array(lengths)
+    ends = np.cumsum(sizes)
+    upto = np.append(np.searchsorted(begins, np.flatnonzero(data == 10)), len(h))
+    count = np.diff(upto, prepend=0)
+    first, count = (upto - count)[count >= LENGTH], count[count >= LENGTH]
     s = _chained(h, WORDS)
     at = places(h, sizes)
-    text = np.searchsorted(np.cumsum(sizes), at, "right")
+    text = np.searchsorted(ends, at, "right")
     content = _in_blocks(lambda x: _contents(sliding_window_view(s, SHINGLES)[x]), at)
-    own = at - (np.cumsum(sizes) - sizes)[text]
+    own = at - (ends - sizes)[text]
     out: list[list[np.ndarray]] = [[], [], [], []]
     for salt in _SALTS[:BANDS]:
         hashed = mix(s ^ salt)
         keys = _in_blocks(lambda x: _window_keys(s, hashed, x), at)
         for to, x in zip(out, (mix(keys + salt), text, content, own)):
             to.append(x)
-    if lines:
-        first, count, of, place = np.array(lines).T
+    if len(first):
+        of = np.searchsorted(ends, first, "right")
+        place = first - (ends - sizes)[of]
         edges = np.column_stack([first, first + count - WORDS + 1]).ravel()
         keys = line_keys(np.stack([np.minimum.reduceat(np.append(mix(s ^ salt), ~U(0)), edges)[::2] for salt in _LINE_SALTS]))
         begins = np.cumsum(count) - count
@@ -200,7 +231,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs, made = b.column(0).to_numpy(), []
         for some in _chunks(b.column(1)):
-            keys, text, content, place = paragraphs([t.as_py() for t in some[1]])
+            keys, text, content, place = paragraphs(some[1].cast(pa.binary()).to_pylist())
             made.append((keys.view(np.int64), docs[some[0] + text], content.view(np.int64), place))
         cols = [np.concatenate(x) for x in zip(*made)] if made else [np.zeros(0)]
         if not len(cols[0]):
@@ -321,7 +352,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for place in wanted:
                 line = words[place & 0xFFFFFFFF : (place & 0xFFFFFFFF) + (place >> 32)]
                 if len(line) == place >> 32:  # rows of one key may have other texts
-                    h = np.fromiter(map(_words.__getitem__, (w.lower() for w in line)), U, len(line))
+                    h, _ = word_hashes(np.frombuffer(b" ".join(line), np.uint8))
                     rows.append((int(_line_contents(h, np.arange(len(h)), np.zeros(1, np.int64)).view(np.int64)[0]), b" ".join(line).decode("utf-8", "replace")))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(LINES)], schema=LINES)
 
