@@ -1,11 +1,22 @@
-"""Blocks of bytes: splitting, byte rows, histograms, runs and closed-form coded sizes, all native."""
+"""Blocks of bytes: splitting, histograms, runs and closed-form coded sizes.
+
+``profile`` reads each block once, where it is, and leaves a small row a block; all that follows from
+counts of bytes and runs is native on that row and shuffles no bytes. ``byte_rows`` is the relational
+form, a row a byte, for small blocks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_BLOCK, MAX_BLOCK = 1024, 512 << 20
+#: Bytes of a block that are counted in one go.
+PIECE = 1 << 20
 
 
 def payload(text: str | Column) -> Column:
@@ -33,8 +44,74 @@ def byte_rows(df: DataFrame, key: str, data: Column) -> DataFrame:
     return df.select(key, F.posexplode(byte_array(data)).alias("pos", "val"))
 
 
-def histogram(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key, "val").agg(F.count("*").alias("cnt"))
+def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x.as_buffer() or b"", np.uint8) for x in column)
+
+
+def _byte_counts(data: np.ndarray) -> np.ndarray:
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(data), PIECE):
+        counts += np.bincount(data[at : at + PIECE], minlength=256)
+    return counts
+
+
+def _run_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs there are (length * 256 + value, ascending), and how many of each."""
+    found, times, start = [], [], 0
+    for at in range(0, len(data), PIECE):
+        piece = data[at : at + PIECE + 1]  # and the next one's first byte
+        ends = at + 1 + np.flatnonzero(piece[1:] != piece[:-1])
+        if at + PIECE >= len(data):
+            ends = np.append(ends, len(data))
+        if len(ends):
+            kinds, n = np.unique(np.diff(ends, prepend=start) << 8 | data[ends - 1], return_counts=True)
+            found.append(kinds)
+            times.append(n)
+            start = ends[-1]
+    if len(found) == 1:
+        return found[0], times[0]
+    kinds, of = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_inverse=True)
+    total = np.zeros(len(kinds), np.int64)
+    np.add.at(total, of, np.concatenate([np.zeros(0, np.int64), *times]))
+    return kinds, total
+
+
+def profile(df: DataFrame, key: str, data: Column) -> DataFrame:
+    """Rows key, n_in, counts (of the 256 byte values), runs (val, n, times: maximal runs of one value, how many of each).
+
+    A row a block, in one pass without a shuffle; null blocks and those without bytes have none. Keys may repeat.
+    """
+    kind = pa.struct([("val", pa.int32()), ("n", pa.int64()), ("times", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts, kinds = [], []
+            for block in _bytes(b.column(1)):
+                counts.append(_byte_counts(block))
+                kinds.append(_run_counts(block))
+            if not counts:
+                continue
+            whole, times = (np.concatenate(x) for x in zip(*kinds))
+            runs_ = pa.StructArray.from_arrays([pa.array((whole & 255).astype(np.int32)), pa.array(whole >> 8), pa.array(times.astype(np.int64))], fields=list(kind))
+            cuts = pa.array(np.cumsum([0, *(len(k) for k, _ in kinds)]), pa.int32())
+            counted = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * 256, pa.int32()), pa.array(np.concatenate(counts)))
+            n_in = pa.array([int(c.sum()) for c in counts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n_in, counted, pa.ListArray.from_arrays(cuts, runs_)], names=["key", "n_in", "counts", "runs"])
+
+    read = df.select(F.col(key).alias("key"), data.alias("data"))
+    kinds = read.schema["key"].dataType.simpleString()
+    rows = read.mapInArrow(run, f"key {kinds}, n_in bigint, counts array<bigint>, runs array<struct<val:int,n:bigint,times:bigint>>")
+    return rows.where("n_in > 0").withColumnRenamed("key", key)
+
+
+def total(values: Column) -> Column:
+    """The sum of an array of whole numbers."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+
+
+def histogram(profiles: DataFrame, key: str) -> DataFrame:
+    """Rows key, val, cnt of a profile: the byte values that stand in a block."""
+    return profiles.select(key, F.posexplode("counts").alias("val", "cnt")).where("cnt > 0")
 
 
 def cumulative(counts: DataFrame, key: str) -> DataFrame:
@@ -43,9 +120,9 @@ def cumulative(counts: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("below", F.coalesce(F.sum("cnt").over(before), F.lit(0)))
 
 
-def entropy(counts: DataFrame, key: str) -> DataFrame:
-    """Order-0 entropy in bits a byte, from counts, without a second pass over bytes: log2 n - sum(c log2 c) / n."""
-    return counts.groupBy(key).agg((F.log2(F.sum("cnt")) - F.sum(F.col("cnt") * F.log2("cnt")) / F.sum("cnt")).alias("entropy"), F.sum("cnt").alias("n_in"))
+def entropy(counts: Column, n_in: Column) -> Column:
+    """Order-0 entropy in bits a byte, from counts: log2 n - sum(c log2 c) / n."""
+    return F.log2(n_in) - F.aggregate(counts, F.lit(0.0), lambda a, c: a + F.when(c > 0, c * F.log2(c)).otherwise(0.0)) / n_in
 
 
 def runs(rows: DataFrame, key: str) -> DataFrame:
@@ -115,11 +192,27 @@ def bwt_rows(df: DataFrame, key: str, data: Column) -> DataFrame:
     return whole.select(key, F.array_join(F.transform("o", lambda x: x["out"]), "").alias("bwt"), "primary_index")
 
 
-def order1_counts(rows: DataFrame, key: str) -> DataFrame:
-    """Rows prev, val, cnt over all blocks, with subtotals by prev and in all (nulls)."""
-    order = Window.partitionBy(key).orderBy("pos")
-    pairs = rows.withColumn("prev", F.coalesce(F.lag("val").over(order), F.lit(0)))
-    return pairs.rollup("prev", "val").agg(F.count("*").alias("cnt"))
+def order1_counts(df: DataFrame, data: Column) -> DataFrame:
+    """Rows prev, val, cnt over all blocks (0 before a block's first byte), with subtotals by prev and in all (nulls).
+
+    A task counts its own blocks and sends 65,536 rows at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for block in _bytes(b.column(0)):
+                if len(block) < 1 << 12:
+                    np.add.at(counts, np.concatenate([[0], block[:-1]]).astype(np.int64)[: len(block)] << 8 | block, 1)
+                    continue
+                counts[block[0]] += 1
+                for at in range(0, len(block) - 1, PIECE):
+                    piece = block[at : at + PIECE + 1]
+                    counts += np.bincount(piece[:-1].astype(np.int32) << 8 | piece[1:], minlength=1 << 16)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((at >> 8).astype(np.int32)), pa.array((at & 255).astype(np.int32)), pa.array(counts[at])], names=["prev", "val", "cnt"])
+
+    return df.select(data.alias("data")).mapInArrow(run, "prev int, val int, cnt bigint").rollup("prev", "val").agg(F.sum("cnt").alias("cnt"))
 
 
 def last_match(rows: DataFrame, key: str, width: int = 4) -> DataFrame:

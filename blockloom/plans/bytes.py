@@ -14,19 +14,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_bytes(spark, sf_dir) -> DataFrame:
-    return blocks.byte_rows(read(spark, sf_dir, "documents"), "doc_id", blocks.payload("text"))
+def document_profiles(spark, sf_dir) -> DataFrame:
+    return blocks.profile(read(spark, sf_dir, "documents"), "doc_id", blocks.payload("text"))
 
 
 def benchmark_bytes(spark, sf_dir) -> DataFrame:
     return blocks.byte_rows(read(spark, sf_dir, "benchmark"), "item_id", blocks.payload("text"))
 
 
+def _rlt_bytes():
+    return blocks.total(F.transform("runs", lambda r: blocks.rlt_bytes(r["n"]) * r["times"]))
+
+
 def flagship(spark, sf_dir) -> DataFrame:
-    rows = document_bytes(spark, sf_dir)
-    found = blocks.runs(rows, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.sum(blocks.rlt_bytes(F.col("n"))).cast("long").alias("rlt_bytes"))
-    ent = blocks.entropy(blocks.histogram(rows, "doc_id"), "doc_id")
-    return ent.join(found, "doc_id").select("doc_id", "n_in", "n_runs", "rlt_bytes", F.round("entropy", 6).alias("entropy"))
+    n_runs = blocks.total(F.col("runs.times"))
+    entropy = F.round(blocks.entropy(F.col("counts"), F.col("n_in")), 6)
+    return document_profiles(spark, sf_dir).select("doc_id", "n_in", n_runs.alias("n_runs"), _rlt_bytes().alias("rlt_bytes"), entropy.alias("entropy"))
 
 
 def block_split(spark, sf_dir):
@@ -35,7 +38,7 @@ def block_split(spark, sf_dir):
 
 
 def byte_histogram(spark, sf_dir):
-    return blocks.histogram(document_bytes(spark, sf_dir), "doc_id")
+    return blocks.histogram(document_profiles(spark, sf_dir), "doc_id")
 
 
 def cumulative_histogram(spark, sf_dir):
@@ -43,20 +46,19 @@ def cumulative_histogram(spark, sf_dir):
 
 
 def order0_entropy(spark, sf_dir):
-    return blocks.entropy(byte_histogram(spark, sf_dir), "doc_id").select("doc_id", "n_in", F.round("entropy", 6).alias("entropy"))
+    return document_profiles(spark, sf_dir).select("doc_id", "n_in", F.round(blocks.entropy(F.col("counts"), F.col("n_in")), 6).alias("entropy"))
 
 
 def order1_context_counts(spark, sf_dir):
-    return blocks.order1_counts(document_bytes(spark, sf_dir), "doc_id")
+    return blocks.order1_counts(read(spark, sf_dir, "documents"), blocks.payload("text"))
 
 
 def run_lengths(spark, sf_dir):
-    return blocks.runs(document_bytes(spark, sf_dir), "doc_id").groupBy("val", "n").agg(F.count("*").alias("runs"))
+    return document_profiles(spark, sf_dir).select(F.inline("runs")).groupBy("val", "n").agg(F.sum("times").alias("runs"))
 
 
 def rlt_length(spark, sf_dir):
-    found = blocks.runs(document_bytes(spark, sf_dir), "doc_id")
-    return found.groupBy("doc_id").agg(F.sum(blocks.rlt_bytes(F.col("n"))).cast("long").alias("n_out"))
+    return document_profiles(spark, sf_dir).select("doc_id", _rlt_bytes().alias("n_out"))
 
 
 def zrlt_length(spark, sf_dir):
@@ -75,15 +77,15 @@ def bwt_small(spark, sf_dir):
 
 
 def alphabet_mode(spark, sf_dir):
-    n = document_bytes(spark, sf_dir).groupBy("doc_id").agg(F.count_distinct("val").alias("symbols"))
-    return n.withColumn("mode", blocks.alphabet_mode(F.col("symbols")))
+    symbols = F.size(F.filter("counts", lambda c: c > 0)).cast("long")
+    return document_profiles(spark, sf_dir).select("doc_id", symbols.alias("symbols")).withColumn("mode", blocks.alphabet_mode(F.col("symbols")))
 
 
 def golomb_bits(spark, sf_dir):
-    v = F.col("val")
-    return document_bytes(spark, sf_dir).groupBy("doc_id").agg(
-        F.sum(blocks.exp_golomb_bits(v, False)).cast("long").alias("exp_bits"), F.sum(blocks.exp_golomb_bits(v, True)).cast("long").alias("exp_signed_bits"),
-        F.sum(blocks.rice_golomb_bits(v, 4, False)).cast("long").alias("rice_bits"), F.sum(blocks.rice_golomb_bits(v, 4, True)).cast("long").alias("rice_signed_bits"))
+    bits = lambda of: blocks.total(F.transform("counts", lambda c, val: c * of(val)))
+    return document_profiles(spark, sf_dir).select(
+        "doc_id", bits(lambda v: blocks.exp_golomb_bits(v, False)).alias("exp_bits"), bits(lambda v: blocks.exp_golomb_bits(v, True)).alias("exp_signed_bits"),
+        bits(lambda v: blocks.rice_golomb_bits(v, 4, False)).alias("rice_bits"), bits(lambda v: blocks.rice_golomb_bits(v, 4, True)).alias("rice_signed_bits"))
 
 
 def last_match(spark, sf_dir):
@@ -93,7 +95,7 @@ def last_match(spark, sf_dir):
 
 def set_difference_alphabet(spark, sf_dir):
     """Byte values that no document has."""
-    return spark.range(256).select(F.col("id").alias("val")).subtract(document_bytes(spark, sf_dir).select(F.col("val").cast("long")))
+    return spark.range(256).select(F.col("id").alias("val")).subtract(byte_histogram(spark, sf_dir).select(F.col("val").cast("long")))
 
 
 def compression_summary(spark, sf_dir):

@@ -1,7 +1,10 @@
 """Native byte operators on odd blocks, against the plain functions."""
 
+import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +40,27 @@ def test_closed_forms_equal_the_encoders(odd):
             assert found[i].rlt == len(T.rlt_encode(d)) and found[i].zrlt == len(T.zrlt_encode(d))
 
 
+def test_profiles_equal_the_relational_form(odd, monkeypatch):
+    data, df = odd
+    for piece in (blocks.PIECE, 7):
+        for d in data:
+            block = np.frombuffer(d, np.uint8)
+            monkeypatch.setattr(blocks, "PIECE", piece)
+            kinds, times = blocks._run_counts(block)
+            plain = Counter((len(list(g)) << 8) + v for v, g in itertools.groupby(d))
+            assert dict(zip(kinds.tolist(), times.tolist())) == plain and blocks._byte_counts(block).tolist() == [d.count(v) for v in range(256)]
+    monkeypatch.undo()
+    df = df.union(df.sparkSession.createDataFrame([(90, None), (0, bytearray(b"twice"))], df.schema))
+    rows = {r.id: r for r in blocks.profile(df, "id", F.col("data")).collect()}
+    assert sorted(rows) == [0, *range(1, len(data))] and rows[0].n_in == 5
+    assert [rows[i].n_in for i in range(1, len(data))] == [len(d) for d in data[1:]]
+    pairs = Counter(p for d in [*data, b"twice"] for p in zip(b"\0" + d, d))
+    found = {(r.prev, r.val): r.cnt for r in blocks.order1_counts(df, F.col("data")).where("val IS NOT NULL").collect()}
+    assert found == pairs
+    none = df.where("id < 0")
+    assert blocks.profile(none, "id", F.col("data")).count() == 0 and blocks.order1_counts(none, F.col("data")).where("prev IS NOT NULL").count() == 0
+
+
 def test_relational_transforms_equal_the_encoders(odd):
     data, df = odd
     small = df.where("length(data) <= 600")
