@@ -6,7 +6,7 @@ from struct import unpack_from
 
 M32 = 0xFFFFFFFF
 #: Fixed value: the seed of block checksums.
-CHECK_SEED = 0x4B414E5A
+CHECK_SEED = 0x5EEDB10C
 
 
 def _turn(x: int, bits: int) -> int:

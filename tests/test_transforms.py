@@ -36,7 +36,7 @@ def test_golden_vectors():
     assert T.bwt_encode(b"3.14159265358979323846264338327950288419716939937510") == (b"3155.47436930098459329186897631422193923832557967183", 13)
     assert T.lyndon_ends(b"mississippi") == [1, 4, 7, 10, 11] and T.lyndon_ends(b"banana") == [1, 3, 5, 6]
     assert [H.xxh32_plain(x) for x in (b"", b"a", b"abc", b"mississippi", b"0123456789abcdef")] == [0x02CC5D05, 0x550D7456, 0x32D153FF, 0x6C59AF06, 0xC2C45B69]
-    assert H.xxh32(b"", H.CHECK_SEED) == 0xBD93A7F9 and H.xxh32_plain(b"mississippi", H.CHECK_SEED) == 0xF15F1915
+    assert H.xxh32(b"", H.CHECK_SEED) == 0x2C036B8B and H.xxh32_plain(b"mississippi", H.CHECK_SEED) == 0x7491697F
     assert [H.murmur3(x) for x in (b"", b"abc", b"abcd")] == [0, 0xB3DD93FA, 0x43ED676A]
 
 
