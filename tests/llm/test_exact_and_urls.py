@@ -1,3 +1,4 @@
+import os
 import re
 from collections import defaultdict
 
@@ -36,6 +37,17 @@ def test_exact_dedup_of_nothing(spark, tmp_path):
     assert stream_dedup.exact_dedup(spark, str(tmp_path / "e.parquet")).collect() == []
 
 
+def test_exact_dedup_takes_no_disk_ahead(spark, tmp_path):
+    """A state partition's manifest takes what it holds, not megabytes ahead."""
+    local = os.path.dirname(spark.sparkContext._temp_dir)
+    manifests = lambda: {f"{d}/{x}" for d, _, names in os.walk(local) for x in names if x.startswith("MANIFEST-")}
+    before = manifests()
+    odd_documents(spark).write.parquet(str(tmp_path / "d.parquet"))
+    assert stream_dedup.exact_dedup(spark, str(tmp_path / "d.parquet")).count()
+    new = manifests() - before
+    assert new and all(os.stat(x).st_blocks * 512 < 1 << 20 for x in new)
+
+
 URLS = [
     None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/7x?q#f", "http://a.example.com/en/8", "http://com/en/", "http://xcom/en/", "ftp://b.net/de/1",
     "http://example.net/de/81", "http://x.example.net#/de/8", "http://example.org/es/", "http://example.org/es", "a://b://c.com/en/", "http://é.com/en/é", "http://example.com/en/7" + "x" * 5000,
