@@ -205,6 +205,41 @@ def test_large_keys_are_split_and_lose_no_link(spark, monkeypatch, rounds):
     assert found == brute_components(word_sets(docs.collect()))
 
 
+def test_folded_sketches_lose_no_link():
+    rng = np.random.default_rng(3)
+    tried = 0
+    for _ in range(3000):
+        n = int(rng.choice([5, 31, 32, 64, 100, 127, 128, 300, 700]))
+        a = parity_join.mix(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.concatenate([a[int(rng.integers(0, n // 5 + 1)) :], parity_join.mix(rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64))])
+        a, b = np.unique(a), np.unique(b)
+        if parity_join.linked(a, b):
+            tried += 1
+            assert 9 * parity_join.bits_apart(*(parity_join.folded_sketch(parity_join.whole_sketch(x)) for x in (a, b))) <= len(a) + len(b)
+    assert tried > 500
+
+
+def test_chance_meetings_send_no_whole_sketches(spark, monkeypatch):
+    """Texts that share one short passage meet in its keys; their whole sketches stay where they are."""
+    rows = Counter()
+    keep = shared.Scratch.keep
+
+    def counted(self, df, label):
+        kept = keep(self, df, label)
+        rows[label, "sketch" in df.columns] += kept.count()
+        return kept
+
+    monkeypatch.setattr(shared.Scratch, "keep", counted)
+    rng = random.Random(11)
+    common = prose(rng, 14)
+    texts = [f"{common} {prose(rng, 55)}" for _ in range(200)]
+    texts += [texts[0] + " end", texts[0] + " other end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in parity_join.similar_components(docs).collect()}
+    assert found == {i: 0 if i >= 200 else i for i in range(202)}
+    assert rows["met", False] > 100 and rows["apart", False] > 50 and rows["apart", True] < 10
+
+
 def test_rows_of_one_key_go_by_their_own_texts(spark):
     rng = random.Random(4)
     a, b, c = (prose(rng, 50) for _ in range(3))
