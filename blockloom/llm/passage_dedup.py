@@ -51,6 +51,8 @@ RUN = -(-80 * 2 * SHINGLES // 180)
 RUNS = SHINGLES - RUN + 1
 #: Rows of documents whose paragraphs are compared are broadcast up to this many (tens of bytes each).
 BROADCAST_ROWS = 200_000
+#: Sketches of lines that met are broadcast up to so many bytes in all.
+FEW_BYTES = 4 << 20
 #: Words, and windows, that are hashed in one go.
 AT_ONCE = 1 << 16
 
@@ -409,7 +411,7 @@ def _like_lines(read: DataFrame, found: DataFrame, scratch: Scratch) -> DataFram
     """Rows doc, place, component of the lines that met: equal ones are one, others that met are compared exactly."""
     texts = _at(read, _ends(found.where("mixed")), scratch).mapInArrow(_lines, "content bigint, text string")
     texts = scratch.keep(texts.dropDuplicates(["content"]), "texts")
-    classes = parity_join._classes(texts, "content", "text", line_bands, 0).select(F.col("doc_id").alias("content"), F.col("component_id").alias("component"))
+    classes = parity_join._classes(texts, "content", "text", line_bands, 0, FEW_BYTES).select(F.col("doc_id").alias("content"), F.col("component_id").alias("component"))
     return found.select("content", "doc", "place").distinct().join(classes, "content", "left").select("doc", "place", F.coalesce("component", "content").alias("component"))
 
 

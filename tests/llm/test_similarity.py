@@ -38,6 +38,34 @@ def test_components_of_chains_stars_and_noise(spark):
     assert components(spark, spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark, "t")).collect() == []
 
 
+@pytest.mark.parametrize("most", [shared.LOCAL_EDGES, -1])
+def test_few_edges_and_many_have_the_same_components(spark, monkeypatch, most):
+    """Few edges are joined without a shuffle: by three jobs at most, where each round of shuffles had several."""
+    monkeypatch.setattr(shared, "LOCAL_EDGES", most)
+    rng = random.Random(14)
+    edges = [(i + 1, i) for i in range(400)] + [(rng.randint(-900, 9000), rng.randint(-900, 9000)) for _ in range(3000)] + [(-(1 << 63), (1 << 63) - 1)]
+    scratch = Scratch(spark, "t")
+    kept = scratch.keep(spark.createDataFrame(edges, "a bigint, b bigint"), "given")
+    group = f"components-{most}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = components(spark, kept, scratch).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {r.node: r.component for r in found} == union([e for e in edges if e[0] != e[1]])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    assert jobs <= 3 if most > 0 else jobs > 10
+
+
+def test_roots_hook_until_no_edge_crosses():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 50, 3000):
+        a, b = rng.integers(-n, n + 1, (2, n))
+        node, to = shared.joined(a, b)
+        want = union([*zip(a.tolist(), b.tolist()), *((x, x) for x in a.tolist())])
+        assert dict(zip(node.tolist(), to.tolist())) == want
+
+
 # ---- spot signatures --------------------------------------------------------------------------
 
 
@@ -240,6 +268,46 @@ def test_chance_meetings_send_no_whole_sketches(spark, monkeypatch):
     assert rows["met", False] > 100 and rows["apart", False] > 50 and rows["apart", True] < 10
 
 
+def test_pairs_are_dealt_alike_on_the_driver_and_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "FOLLOWERS", 3)
+    rng = random.Random(21)
+    pairs = sorted({(a, b) for a, b in ((rng.choice([2, 4, rng.randint(0, 40)]) * 2, 100 + 2 * rng.randint(0, 60)) for _ in range(200))})
+    close = spark.createDataFrame([(a, b, a + 1, b + 1, 7 * a, 7 * b) for a, b in pairs], ", ".join(f"{n} bigint" for n in parity_join.PAIRS.names))
+    reps, wanted = parity_join._dealt(*(c.to_numpy() for c in close.toArrow().columns))
+    reps_by_tasks, wanted_by_tasks = parity_join._Verifier(close, close, None)._dealt_by_tasks(close)
+    assert set(reps["doc_id"].tolist()) == {r.doc_id for r in reps_by_tasks.collect()}
+    rows = list(zip(*(wanted[n].tolist() for n in ("a", "salt", "lead", "node", "n"))))
+    told = [tuple(r) for r in wanted_by_tasks.collect()]
+    followers = lambda rows: sorted((a, node, n) for a, _, lead, node, n in rows if not lead)
+    leaders = lambda rows: sorted((a, salt, n) for a, salt, lead, node, n in rows if lead and a == node)
+    assert followers(rows) == followers(told) == [(a, b, 7 * b) for a, b in pairs] and leaders(rows) == leaders(told)
+    assert {r[:2] for r in rows if not r[2]} <= {r[:2] for r in rows if r[2]} and len(rows) == len(told)
+
+
+def test_few_sketches_are_broadcast_with_the_same_result(spark, monkeypatch):
+    """Large keys, repeated rows and edits: components don't depend on how sketches travel, and few make fewer tables."""
+    monkeypatch.setattr(parity_join, "PAIRED", 8)
+    rng, made = random.Random(23), Counter()
+    keep = shared.Scratch.keep
+
+    def counted(self, df, label):
+        made[few] += 1
+        return keep(self, df, label)
+
+    monkeypatch.setattr(shared.Scratch, "keep", counted)
+    common, texts = prose(rng, 40), []
+    for _ in range(30):
+        own = prose(rng, rng.choice([20, 60])).split()
+        texts += [" ".join([common, *own]), " ".join([common, *own[1:]])]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (3, texts[9])], "doc_id bigint, text string")
+    found = {}
+    for few in (0, 1 << 20):
+        rows = parity_join._classes(docs, "doc_id", "text", rounds=0, few=few).collect()
+        found[few] = sorted((r.doc_id, r.n_shingles, r.node, r.component_id) for r in rows)
+    assert found[0] == found[1 << 20] and len(found[0]) == 62 and len({r[3] for r in found[0]}) == 30  # one a pair; that of texts 8 and 9 has the least key 3
+    assert made[1 << 20] <= made[0] - 3
+
+
 def test_rows_of_one_key_go_by_their_own_texts(spark):
     rng = random.Random(4)
     a, b, c = (prose(rng, 50) for _ in range(3))
