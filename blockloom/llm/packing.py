@@ -17,7 +17,7 @@ import base64
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import keeps, releasing, small_batches, table
 
 SIZE = 2048
 END_ID = 1
@@ -43,21 +43,31 @@ class Tokens:
     """Ids of texts, and which ids end a sentence.
 
     ``encoder`` is the file of the tokenizers library, whose ids these are; ``ranks`` the same
-    vocabulary for the faster library. A text that names an added token goes to the former.
+    vocabulary for the faster library. A text that names an added token goes to the former, which
+    is loaded again for the first of them and not held before.
     """
 
     def __init__(self, encoder: bytes, ranks: bytes, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_buffer(encoder)
-        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.encoder = encoder
+        slow = self._loaded()
+        self.added = [t.content for t in slow.get_added_tokens_decoder().values()]
         vocab = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=vocab, special_tokens={})
-        self.ends = np.zeros(self.slow.get_vocab_size() + 1, dtype=bool)
+        self.ends = np.zeros(slow.get_vocab_size() + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.rstrip(b" \"')").endswith((b".", b"!", b"?", b"\n"))
 
+    def _loaded(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_buffer(self.encoder)
+
+    @cached_property
+    def slow(self):
+        return self._loaded()
+
     def encode(self, text: str) -> np.ndarray:
         if any(a in text for a in self.added):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -69,6 +79,9 @@ def tokens(encoder: bytes, ranks: bytes, pattern: str) -> Tokens:
     return Tokens(encoder, ranks, pattern)
 
 
+keeps(__name__, tokens.cache_clear)
+
+
 def best_cuts(places: list[int], costs: list[int], size: int = SIZE) -> list[int]:
     """Indexes into ``places`` of the cheapest cuts, from the first place to the last, both included.
 
@@ -188,6 +201,7 @@ def pack(df: DataFrame, encoder_path: str, rank_path: str, pattern: str, *, key:
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     types = pa.schema([(n, pa.int64()) for n in names])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = tokens(files[0].value, files[1].value, pattern)
         packer = Packer(make.ends, TaskContext.get().partitionId() << 32)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import Scratch, components, fresh, local_table, releasing, table
+from .shared import Scratch, components, fresh, keeps, local_table, releasing, table
 
 WORDS = 5
 #: Upper ends of size bands grow by this; members a segment gets at a band's upper end.
@@ -82,6 +82,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+keeps(__name__, _words.clear)
 
 
 def shingles(text: str | None) -> np.ndarray:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from blockloom.llm import bpe_fst, packing
+from blockloom.llm import bpe_fst, packing, parity_join, shared
 
 from .data import empty_documents, odd_documents
 
@@ -154,3 +154,25 @@ def test_named_special_token_goes_to_the_slow_library():
     read = lambda n: open(vocab.path(n), "rb").read()
     tokens = packing.Tokens(read("byte_bpe_50k.json"), read("byte_bpe_50k.tiktoken"), vocab.PATTERN)
     assert tokens.encode("a <|endoftext|> b").tolist() == Tokenizer.from_file(vocab.path("byte_bpe_50k.json")).encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
+def test_workers_keep_nothing_for_other_operators():
+    """One process runs the stages of the pipeline one after another; vocabularies and words of one are no load on the next."""
+    files = [open(vocab.path(f"byte_bpe_50k.{end}"), "rb").read() for end in ("json", "tiktoken")]  # noqa: SIM115
+    made = packing.tokens(*files, vocab.PATTERN)
+    made.encode("plain words")
+    assert "slow" not in vars(made)  # the slower library's vocabulary waits for a text that names an added token
+    made.encode(f"words {made.added[0]}")
+    assert "slow" in vars(made) and packing.tokens.cache_info().currsize == 1
+    parity_join.shingles("some words of a text")
+
+    def run(batches):
+        yield from batches
+
+    run.__module__ = packing.__name__
+    assert list(shared.releasing(run)(iter([1]))) == [1]
+    assert packing.tokens.cache_info().currsize == 1 and not parity_join._words
+    parity_join.shingles("some words of a text")
+    run.__module__ = parity_join.__name__
+    assert list(shared.releasing(run)(iter([1]))) == [1]
+    assert packing.tokens.cache_info().currsize == 0 and parity_join._words
