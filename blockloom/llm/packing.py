@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keeps, releasing, small_batches, table
+from .shared import give_back, keeps, releasing, small_batches, table
 
 SIZE = 2048
 END_ID = 1
@@ -53,9 +53,12 @@ class Tokens:
         self.encoder = encoder
         slow = self._loaded()
         self.added = [t.content for t in slow.get_added_tokens_decoder().values()]
+        size = slow.get_vocab_size()
+        del slow
+        give_back()  # the two vocabularies need not be held at once
         vocab = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=vocab, special_tokens={})
-        self.ends = np.zeros(slow.get_vocab_size() + 1, dtype=bool)
+        self.ends = np.zeros(size + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.rstrip(b" \"')").endswith((b".", b"!", b"?", b"\n"))
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -176,3 +177,25 @@ def test_workers_keep_nothing_for_other_operators():
     run.__module__ = parity_join.__name__
     assert list(shared.releasing(run)(iter([1]))) == [1]
     assert packing.tokens.cache_info().currsize == 0 and parity_join._words
+
+
+def test_vocabularies_are_not_held_at_once(monkeypatch):
+    """The slower library's is gone when the faster one's is made."""
+
+    class Held:
+        def __init__(self, made):
+            self.get_added_tokens_decoder, self.get_vocab_size = made.get_added_tokens_decoder, made.get_vocab_size
+
+    loaded, alive, plain, made = [], [], packing.Tokens._loaded, tiktoken.Encoding
+
+    def load(self):
+        held = Held(plain(self))
+        loaded.append(weakref.ref(held))
+        return held
+
+    monkeypatch.setattr(packing.Tokens, "_loaded", load)
+    monkeypatch.setattr(tiktoken, "Encoding", lambda *a, **b: alive.append(loaded[0]()) or made(*a, **b))
+    files = [open(vocab.path(f"byte_bpe_50k.{end}"), "rb").read() for end in ("json", "tiktoken")]  # noqa: SIM115
+    found = packing.Tokens(*files, vocab.PATTERN)
+    assert alive == [None]
+    assert len(found.ends) == Tokenizer.from_buffer(files[0]).get_vocab_size() + 1 and found.added

@@ -124,6 +124,20 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, seen["packing"].collect()))
 
 
+def test_stages_begin_without_heap_of_others(spark):
+    """Each stage begins with full collections, a task for each core, so the heap of the stage before is no load on it."""
+    beans = spark._jvm.java.lang.management.ManagementFactory
+
+    def full() -> int:
+        return sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+
+    docs = empty_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[-1:] + corpus_pipeline.STAGES[1:2]:
+        before = full()
+        stage(spark, docs, "")
+        assert full() > before, name
+
+
 def test_all_are_registered():
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
