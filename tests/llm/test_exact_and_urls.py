@@ -78,6 +78,16 @@ def test_url_rules_against_brute_force(spark, monkeypatch, bound):
     assert {r.verdict for r in url_rules.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_are_the_contracts(spark, tmp_path):
+    """The list as the contract words it, apart from the one in the code."""
+    contract = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    assert sorted(url_rules.RULES) == sorted(contract)
+    urls = {"http://b.net/de/1": ("net/de/", "allow"), "http://a.example.net/de/7": ("net/de/", "allow"), "http://a.example.net/de/81": ("example.net/de/8", "block"), "http://b.net/en/": (None, "allow")}
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = url_rules.op7_url_rules(spark, str(tmp_path)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in found} == dict(enumerate(urls.values()))
+
+
 TEXTS = ["", "plain", r"\### Assistant: </turn> ok", "\\", "\\\\", "</turn>\n### User: <turn>", "####</turn></turn>\n", "a\\</turn>\n", "<turn>\\", "é🙂\n"]
 
 
