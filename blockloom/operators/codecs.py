@@ -47,6 +47,7 @@ ENTROPY: dict[str, Pair] = {
 AT_ONCE: dict[str, tuple[Callable[[list[bytes]], list[bytes]], Callable[[list[bytes]], list[bytes]]]] = {
     "EXPGOLOMB": (L.exp_golomb_encode, L.exp_golomb_decode),
     "RICEGOLOMB": (L.rice_golomb_encode, L.rice_golomb_decode),
+    "RANGE": (L.range_encode, L.range_decode),
 }
 #: Bytes and rows that are coded together, one block at least; a step through a slice should serve so many blocks on average.
 SLICE, ROWS, LANES = 4 << 20, 4096, 16
