@@ -48,6 +48,9 @@ AT_ONCE: dict[str, tuple[Callable[[list[bytes]], list[bytes]], Callable[[list[by
     "EXPGOLOMB": (L.exp_golomb_encode, L.exp_golomb_decode),
     "RICEGOLOMB": (L.rice_golomb_encode, L.rice_golomb_decode),
     "RANGE": (L.range_encode, L.range_decode),
+    "ZRLT": (L.zrlt_encode, L.zrlt_decode),
+    "MTF": (lambda d: L.sbrt_encode(d, "mtf"), lambda d: L.sbrt_decode(d, "mtf")),
+    "RANK": (lambda d: L.sbrt_encode(d, "rank"), lambda d: L.sbrt_decode(d, "rank")),
 }
 #: Bytes and rows that are coded together, one block at least; a step through a slice should serve so many blocks on average.
 SLICE, ROWS, LANES = 4 << 20, 4096, 16
