@@ -52,6 +52,8 @@ AT_ONCE: dict[str, tuple[Callable[[list[bytes]], list[bytes]], Callable[[list[by
     "MTF": (lambda d: L.sbrt_encode(d, "mtf"), lambda d: L.sbrt_decode(d, "mtf")),
     "RANK": (lambda d: L.sbrt_encode(d, "rank"), lambda d: L.sbrt_decode(d, "rank")),
     "TIMESTAMP": (lambda d: L.sbrt_encode(d, "timestamp"), lambda d: L.sbrt_decode(d, "timestamp")),
+    "BWT": (lambda d: L.bwt_block_encode(d, "raw", False), lambda d: L.bwt_block_decode(d, "raw", False)),
+    "BWTS": (lambda d: L.bwt_block_encode(d, "raw", True), lambda d: L.bwt_block_decode(d, "raw", True)),
 }
 #: Bytes and rows that are coded together, one block at least; a step through a slice should serve so many blocks on average.
 SLICE, ROWS, LANES = 4 << 20, 4096, 16
