@@ -55,6 +55,7 @@ AT_ONCE: dict[str, tuple[Callable[[list[bytes]], list[bytes]], Callable[[list[by
     "BWT": (lambda d: L.bwt_block_encode(d, "raw", False), lambda d: L.bwt_block_decode(d, "raw", False)),
     "BWTS": (lambda d: L.bwt_block_encode(d, "raw", True), lambda d: L.bwt_block_decode(d, "raw", True)),
     "ANS": (L.ans_encode, L.ans_decode),
+    "HUFFMAN": (L.huffman_encode, L.huffman_decode),
 }
 #: Bytes and rows that are coded together, one block at least; a step through a slice should serve so many blocks on average.
 SLICE, ROWS, LANES = 4 << 20, 4096, 16
