@@ -56,6 +56,9 @@ AT_ONCE: dict[str, tuple[Callable[[list[bytes]], list[bytes]], Callable[[list[by
     "BWTS": (lambda d: L.bwt_block_encode(d, "raw", True), lambda d: L.bwt_block_decode(d, "raw", True)),
     "ANS": (L.ans_encode, L.ans_decode),
     "HUFFMAN": (L.huffman_encode, L.huffman_decode),
+    "BWTS+MTF": (lambda d: L.bwt_block_encode(d, "mtf", True), lambda d: L.bwt_block_decode(d, "mtf", True)),
+    "BWTS+RANK": (lambda d: L.bwt_block_encode(d, "rank", True), lambda d: L.bwt_block_decode(d, "rank", True)),
+    "BWTS+TIMESTAMP": (lambda d: L.bwt_block_encode(d, "timestamp", True), lambda d: L.bwt_block_decode(d, "timestamp", True)),
 }
 #: Bytes and rows that are coded together, one block at least; a step through a slice should serve so many blocks on average.
 SLICE, ROWS, LANES = 4 << 20, 4096, 16
