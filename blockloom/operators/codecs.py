@@ -60,6 +60,8 @@ AT_ONCE: dict[str, tuple[Callable[[list[bytes]], list[bytes]], Callable[[list[by
     "BWTS+RANK": (lambda d: L.bwt_block_encode(d, "rank", True), lambda d: L.bwt_block_decode(d, "rank", True)),
     "BWTS+TIMESTAMP": (lambda d: L.bwt_block_encode(d, "timestamp", True), lambda d: L.bwt_block_decode(d, "timestamp", True)),
     "BWT+MTF": (lambda d: L.bwt_block_encode(d, "mtf", False), lambda d: L.bwt_block_decode(d, "mtf", False)),
+    "BWT+RANK": (lambda d: L.bwt_block_encode(d, "rank", False), lambda d: L.bwt_block_decode(d, "rank", False)),
+    "BWT+TIMESTAMP": (lambda d: L.bwt_block_encode(d, "timestamp", False), lambda d: L.bwt_block_decode(d, "timestamp", False)),
 }
 #: Bytes and rows that are coded together, one block at least; a step through a slice should serve so many blocks on average.
 SLICE, ROWS, LANES = 4 << 20, 4096, 16
